@@ -125,7 +125,7 @@ def display_form(c: Column | str) -> Column:
 
 
 def _key_of_matching(m: Column) -> Column:
-    spaced = F.regexp_replace(m, rf"(?U)[^\w{V.WHITESPACE}\u0621-\u06ff]", " ")
+    spaced = F.regexp_replace(m, rf"[^\p{{L}}\p{{N}}_{V.WHITESPACE}\u0621-\u06ff]", " ")
     return collapse_whitespace(F.lower(spaced))
 
 
