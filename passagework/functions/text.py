@@ -7,6 +7,7 @@ outright because the regex shorthands are ASCII-only in Java.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -97,31 +98,46 @@ def words(c: Column | str) -> Column:
 # Normal forms
 # --------------------------------------------------------------------------
 
+def _expand(chars: str) -> str:
+    """All characters of a class written as escapes and ranges."""
+    out: list[str] = []
+    for m in re.finditer(r"\\u([0-9a-f]{4})(?:-\\u([0-9a-f]{4}))?", chars):
+        first = int(m[1], 16)
+        out.extend(map(chr, range(first, int(m[2] or m[1], 16) + 1)))
+    return "".join(out)
+
+
 _ALL_FOLDS = {**V.ALEF_FOLDS, **V.LETTER_FOLDS, **V.DIGIT_FOLDS, **V.PUNCTUATION_FOLDS}
-_DROPPED = V.ORNAMENTS + V.DIACRITICS + V.TATWEEL + V.HAMZA
-_FOLDED = f"[{''.join(_ALL_FOLDS)}]"
+_DROPPED = _expand(V.ORNAMENTS + V.DIACRITICS + V.TATWEEL + V.HAMZA)
 
+# Text without a character from here up (and without guillemets) is already in
+# both normal forms but for its white space, which covers most Latin text.
+_BEYOND_LATIN = r"[\u0300-\x{10ffff}]"
+_MAY_FOLD = r"[\u00ab\u00bb\u0300-\x{10ffff}]"
 
-def fold_composed(c: Column | str) -> Column:
-    """Matching form of text that is already composed.
 
-    Deletions never produce a folded letter and folds never produce a deleted
-    one, so all deletions are one replace and all folds one translate; text with
-    no foldable character (most Latin text) skips the translate.
-    """
-    dropped = F.regexp_replace(_col(c), f"[{_DROPPED}]", "")
-    folded = F.when(dropped.rlike(_FOLDED), _fold(dropped, _ALL_FOLDS)).otherwise(dropped)
-    return collapse_whitespace(folded)
+def _fold_letters(c: Column) -> Column:
+    # No deletion yields a folded letter and no fold a deleted one, so a single
+    # translate (letters without a counterpart are deleted) does both.
+    return F.translate(c, "".join(_ALL_FOLDS) + _DROPPED, "".join(_ALL_FOLDS.values()))
+
+
+def fold_composed(c: Column | str) -> Column:
+    """Matching form of text that is already composed; usable inside lambdas."""
+    c = _col(c)
+    return collapse_whitespace(F.when(c.rlike(_MAY_FOLD), _fold_letters(c)).otherwise(c))
 
 
 def matching_form(c: Column | str) -> Column:
     """Form used only for matching; never displayed."""
-    return fold_composed(compose(c))
+    c = _col(c)
+    return collapse_whitespace(F.when(c.rlike(_MAY_FOLD), _fold_letters(compose(c))).otherwise(c))
 
 
 def display_form(c: Column | str) -> Column:
     """Form shown to readers: orthography kept, invisible characters dropped."""
-    return collapse_whitespace(strip_ornaments(compose(c)))
+    c = _col(c)
+    return collapse_whitespace(F.when(c.rlike(_BEYOND_LATIN), strip_ornaments(compose(c))).otherwise(c))
 
 
 def _key_of_matching(m: Column) -> Column:
@@ -141,13 +157,7 @@ def key_form_composed(c: Column | str) -> Column:
 
 def with_text_forms(df: DataFrame, column: str) -> DataFrame:
     """Add `display` and `matching` beside the original, which stays untouched."""
-    composed = compose(column)
-    return df.withColumns(
-        {
-            "display": collapse_whitespace(strip_ornaments(composed)),
-            "matching": fold_composed(composed),
-        }
-    )
+    return df.withColumns({"display": display_form(column), "matching": matching_form(column)})
 
 
 # --------------------------------------------------------------------------

@@ -23,6 +23,15 @@ def bounded(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on input that has fewer splits than the session has cores.
+
+    Input with enough splits, which is any table of some size, passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def number_within(
     df: DataFrame,
     partition: Sequence[str],

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from passagework.operators.quality import published_passages
 from passagework.operators.retrieval import search_tokens
-from passagework.operators.tables import bounded, id_bucket, number_within
+from passagework.operators.tables import bounded, id_bucket, number_within, spread
 
 # Letters that carry Latin words into Arabic script, so that the script-aware
 # steps run over whole tables: plain, with vowel marks, and with Urdu letters.
@@ -104,6 +104,11 @@ class DriverCorpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Documents for jobs whose cost is in the text."""
+        return spread(self.table("documents"))
+
     @cached_property
     def works(self) -> DataFrame:
         n = F.col("n")
@@ -215,7 +220,7 @@ class DriverCorpus:
     @cached_property
     def scripted(self) -> DataFrame:
         t = F.lower("text")
-        return self.table("documents").select(
+        return self.documents.select(
             "doc_id", "lang",
             F.when(F.col("lang") == "fr", F.translate(t, LATIN, AS_ARABIC))
             .when(F.col("lang") == "de", F.translate(t, LATIN, AS_VOWELLED))

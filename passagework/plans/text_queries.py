@@ -141,7 +141,7 @@ def _loop(size: int) -> str:
     ),
 )
 def b8(c):
-    return T.flag_degenerate(c.table("documents").select("doc_id", "text"), "text").select(
+    return T.flag_degenerate(c.documents.select("doc_id", "text"), "text").select(
         "doc_id", "degenerate", "degenerate_reason"
     )
 
@@ -173,7 +173,7 @@ def b9(c):
     ),
 )
 def b10(c):
-    return c.table("documents").select("doc_id", T.gist("text").alias("gist"))
+    return c.documents.select("doc_id", T.gist("text").alias("gist"))
 
 
 # Driver text quotes with straight quotes and guillemets, so those are its brackets.
@@ -186,7 +186,7 @@ _QUOTES = ['"[^"]{4,200}"', "«[^»]{2,200}»"]
         AS opens_discussion FROM documents""",
 )
 def b11(c):
-    return c.table("documents").select(
+    return c.documents.select(
         "doc_id",
         T.opens_discussion("text", headers=["Of the", "Que la"], brackets=_QUOTES).alias("opens_discussion"),
     )
@@ -212,7 +212,7 @@ _LIMIT = 120
     ),
 )
 def b12(c):
-    return c.table("documents").select(
+    return c.documents.select(
         "doc_id", F.posexplode(T.split_sentences("text", limit=_LIMIT)).alias("piece", "text")
     )
 
@@ -239,7 +239,7 @@ def b13(c):
     FROM documents d JOIN v_work w ON w.work_slug = d.source"""),
 )
 def b14(c):
-    return c.table("documents").select("doc_id", F.col("source").alias("work_slug")).join(
+    return c.documents.select("doc_id", F.col("source").alias("work_slug")).join(
         c.works.select("work_slug", "death_year"), "work_slug"
     ).select("doc_id", "work_slug", T.historical_period("death_year").alias("period"))
 
@@ -273,6 +273,6 @@ def _packed(list_sql: str, limit: int, joiner: str) -> str:
     ),
 )
 def c1(c):
-    return chunk_documents(c.table("documents"), "text").select(
+    return chunk_documents(c.documents, "text").select(
         "doc_id", "chunk_index", "raw_text", "matching", "display", "char_count"
     )
