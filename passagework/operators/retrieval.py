@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 from passagework.operators.tables import bounded
+from passagework.session import materialise
 
 STRUCTURAL_WEIGHTS = {"structural": 1.5, "sparse": 1.0, "dense": 1.0}
 RRF_K = 60
@@ -112,11 +113,14 @@ def search_tokens(matching: Column | str, *, stem: bool = False) -> Column:
 def index_passages(passages: DataFrame, text: str = "raw_text", *, stem: bool = False) -> DataFrame:
     """passage_id, work_slug, tokens, n_tokens: the input of every lexical search.
 
-    Write this once per corpus; the searches below read nothing else.
+    It is written once per corpus; the searches below read nothing else, and each
+    of their branches reads only the columns it needs.
     """
-    return passages.select(
-        "passage_id", "work_slug", search_tokens(T.matching_form(text), stem=stem).alias("tokens")
-    ).withColumn("n_tokens", F.size("tokens"))
+    return materialise(
+        passages.select(
+            "passage_id", "work_slug", search_tokens(T.matching_form(text), stem=stem).alias("tokens")
+        ).withColumn("n_tokens", F.size("tokens"))
+    )
 
 
 def postings(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -181,9 +185,8 @@ def sparse_search(
     """
     branches = parse_search(queries, text, stem=stem)
     vocabulary = branches.select(F.explode(F.concat("terms", "excluded")).alias("term")).distinct()
-    posted = postings(index, vocabulary)
+    posted = materialise(postings(index, vocabulary))
     frequency = posted.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = index.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len"))
 
     # The rarest term of a branch; a required term that occurs nowhere ends it.
     known = (
@@ -233,7 +236,8 @@ def sparse_search(
 
     # Score: every positive term of the query that the passage holds.
     wanted = branches.select("query_id", F.explode("terms").alias("term")).distinct().join(frequency, "term")
-    n_docs, avg_len = corpus.select("n").scalar(), corpus.select("avg_len").scalar()
+    corpus = index.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len")).first()
+    n_docs, avg_len = corpus.n, corpus.avg_len or 1.0
     norm = F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / avg_len)
     part = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / norm
     scored = (
@@ -290,7 +294,7 @@ def _best_in_tile(k: int):
         ids = right["passage_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        scores = np.round(_unit(left["vector"]) @ _unit(right["vector"]).T, 9)[:, order]
+        scores = np.round(_unit(left["vector"]) @ _unit(right["vector"]).T, 12)[:, order]
         allowed = np.ones(scores.shape, dtype=bool)
         slugs = right["work_slug"].to_numpy()[order]
         for row, works in enumerate(left["works"]):
@@ -326,11 +330,14 @@ def dense_search(
     of tiles is one matrix product that emits at most k rows per query. Queries
     with ranges are scored on the passages of those ranges only.
     """
-    q = query_vectors.filter("vector is not null").select("query_id", "vector")
-    p = passage_vectors.filter("vector is not null")
-    if "work_slug" not in p.columns:
-        p = p.withColumn("work_slug", F.lit(""))
-    p = p.select("passage_id", "vector", "work_slug")
+    # Fresh aliases, because both sides may come from one vector table.
+    q = query_vectors.filter("vector is not null").select(
+        F.col("query_id").alias("query_id"), F.col("vector").alias("vector")
+    )
+    slug = F.col("work_slug") if "work_slug" in passage_vectors.columns else F.lit("")
+    p = passage_vectors.filter("vector is not null").select(
+        F.col("passage_id").alias("passage_id"), F.col("vector").alias("vector"), slug.alias("work_slug")
+    )
     if query_works is not None:
         q = q.join(query_works.select("query_id", "works"), "query_id", "left")
     else:
@@ -351,13 +358,13 @@ def dense_search(
     left = q.withColumns(
         {
             "_q": F.pmod(F.xxhash64("query_id"), F.lit(q_tiles)),
-            "_p": F.explode(F.sequence(F.lit(0), F.lit(p_tiles - 1))).cast("long"),
+            "_p": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p_tiles - 1).cast("long"))),
         }
     )
     right = p.withColumns(
         {
             "_p": F.pmod(F.xxhash64("passage_id"), F.lit(p_tiles)),
-            "_q": F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1))).cast("long"),
+            "_q": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_tiles - 1).cast("long"))),
         }
     )
     id_types = {f.name: f.dataType.simpleString() for f in [*q.schema, *p.schema]}
@@ -398,7 +405,7 @@ def _dense_in_ranges(
         pairs.join(q, "query_id")
         .join(p.withColumnRenamed("vector", "_v"), "passage_id")
         .filter(F.col("works").isNull() | F.array_contains("works", F.col("work_slug")))
-        .select("query_id", "passage_id", F.round(_cosine(F.col("vector"), F.col("_v")), 9).alias("similarity"))
+        .select("query_id", "passage_id", F.round(_cosine(F.col("vector"), F.col("_v")), 12).alias("similarity"))
     )
 
 
@@ -534,34 +541,50 @@ def trigram_matches(
 ) -> DataFrame:
     """Fuzzy name pairs by trigram similarity with edit distance as second score.
 
-    left: left_id, name. right: right_id, name. Shared trigrams are counted by an
-    equi-join; pairs sharing none are never formed.
+    left: left_id, name. right: right_id, name. Two names of similarity t share at
+    least one of the rarest grams of each, about a share 1 - t of them, so only
+    those grams join; common grams such as shared prefixes never do. Exact.
     """
-    def exploded(df: DataFrame, key: str) -> DataFrame:
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
         # Two leading blanks and one trailing, as trigram indexes pad words.
-        padded = F.concat(F.lit("  "), T.key_form(name), F.lit(" "))
+        padded = F.concat(F.lit("  "), F.col("_name"), F.lit(" "))
         return (
-            df.select(key, T.key_form(name).alias("_name"), _grams(padded, 3).alias("_grams"))
-            .withColumn("_size", F.size("_grams"))
+            df.select(key, T.key_form(name).alias("_name"))
+            .withColumn("_grams", _grams(padded, 3))
+            .filter(F.size("_grams") > 0)
         )
 
-    a, b = exploded(left, "left_id"), exploded(right, "right_id")
-    shared = (
-        a.select("left_id", "_size", "_name", F.explode("_grams").alias("_gram"))
-        .join(
-            b.select("right_id", F.col("_size").alias("_size_r"), F.col("_name").alias("_name_r"),
-                     F.explode("_grams").alias("_gram")),
-            "_gram",
+    a, b = grams(left, "left_id"), grams(right, "right_id")
+    frequency = (
+        a.select(F.explode("_grams").alias("_gram")).unionByName(b.select(F.explode("_grams").alias("_gram")))
+        .groupBy("_gram").agg(F.count("*").alias("_df"))
+    )
+
+    def rare(df: DataFrame, key: str) -> DataFrame:
+        n = F.size("_grams")
+        kept = n - F.ceil(n * threshold).cast("int") + 1
+        ranked = (
+            df.select(key, "_grams", F.explode("_grams").alias("_gram"))
+            .join(frequency, "_gram")
+            .groupBy(key)
+            .agg(
+                F.first("_grams").alias("_grams"),
+                F.array_sort(F.collect_list(F.struct("_df", "_gram"))).alias("_ranked"),
+            )
         )
-        .groupBy("left_id", "right_id", "_size", "_size_r", "_name", "_name_r")
-        .agg(F.count("*").alias("_shared"))
-    )
-    similarity = F.col("_shared") / (F.col("_size") + F.col("_size_r") - F.col("_shared"))
+        return ranked.select(key, F.explode(F.slice("_ranked", F.lit(1), kept)).alias("_r")).select(
+            key, F.col("_r._gram").alias("_gram")
+        )
+
+    pairs = rare(a, "left_id").join(rare(b, "right_id"), "_gram").select("left_id", "right_id").distinct()
+    shared = F.size(F.array_intersect("_grams", "_grams_r"))
+    similarity = shared / (F.size("_grams") + F.size("_grams_r") - shared)
+    right_side = b.select("right_id", F.col("_name").alias("_name_r"), F.col("_grams").alias("_grams_r"))
     return (
-        shared.withColumn("similarity", F.round(similarity, 6))
+        pairs.join(a, "left_id").join(right_side, "right_id")
+        .withColumn("similarity", F.round(similarity, 6))
         .filter(F.col("similarity") >= threshold)
         .withColumn("edit_distance", F.levenshtein("_name", "_name_r"))
         .select("left_id", "right_id", "similarity", "edit_distance")
     )
-
-

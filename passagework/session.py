@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,26 +21,40 @@ def local_session(cores: str | int = "*", *, shuffle_partitions: int = 8) -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` with a reliable checkpoint and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for tables that cut lineage: `spark.checkpoint.dir`.
 
-    The folder is the shared one named by `spark.checkpoint.dir`. Only a local
-    session, where driver and executors are one process, may fall back to a
-    temporary folder.
+    Only a local session, where driver and executors are one process, may do
+    without the setting and use a temporary folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = sc.getConf().get("spark.checkpoint.dir", "")
-        if not configured:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            configured = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", ""
+    )
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-passagework-")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back.
+
+    Used where several branches of a job need the same costly table: it is
+    computed once, survives lost executors, and each branch reads only its columns.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
