@@ -12,9 +12,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.operators.clauses import passages_by_verse, verse_words
 from passagework.operators.quality import published_passages
 from passagework.operators.retrieval import search_tokens
 from passagework.operators.tables import bounded, id_bucket, number_within, spread
+from passagework.plans import sql_text as S
 
 # Letters that carry Latin words into Arabic script, so that the script-aware
 # steps run over whole tables: plain, with vowel marks, and with Urdu letters.
@@ -67,6 +69,15 @@ VIEWS = {
           CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE url END AS ocr_raw_text,
           CASE WHEN page_id % 3 = 2 THEN (page_id % 100) / CAST(100 AS DOUBLE) END AS ocr_confidence
         FROM pages""",
+    "v_verse_words": f"""
+        SELECT item_id, chapter, verse, {S.words(S.matching('text'))} AS words,
+          {S.words(S.collapse('text'))} AS display_words FROM v_verse""",
+    "v_quoting": """
+        SELECT p.passage_id, v.chapter, v.verse, CASE WHEN p.passage_id % 3 <> 0 THEN '\ufd3f' || array_to_string(
+            v.words[1 + p.passage_id // 40 % 4 * 5 : 4 + p.passage_id // 40 % 4 * 5 + p.passage_id // 160 % 2], ' ')
+            || '\ufd3e ' || p.raw_text ELSE p.raw_text END AS raw_text
+        FROM v_passage_verse a JOIN v_passage p ON p.passage_id = a.passage_id
+        JOIN v_verse_words v ON v.chapter = a.chapter AND v.verse = a.verse_start""",
     "v_scripted": f"""
         SELECT doc_id, lang, CASE lang WHEN 'fr' THEN translate(lower(text), '{LATIN}', '{AS_ARABIC}')
           WHEN 'de' THEN translate(lower(text), '{LATIN}', '{AS_VOWELLED}')
@@ -217,6 +228,21 @@ class DriverCorpus:
             F.when(p % 3 == 2, (p % 100) / F.lit(100.0)).alias("ocr_confidence"),
         )
 
+    @cached_property
+    def quoting(self) -> DataFrame:
+        """Passages by verse; two in three open by quoting a span of the verse."""
+        words = verse_words(self.verses)
+        rows = passages_by_verse(self.alignments, self.unnumbered_passages).join(words, ["chapter", "verse"])
+        step = F.floor(F.col("passage_id") / 40)
+        span = F.slice("words", (1 + step % 4 * 5).cast("int"), (4 + F.floor(F.col("passage_id") / 160) % 2).cast("int"))
+        quoted = F.concat(F.lit("\ufd3f"), F.array_join(span, " "), F.lit("\ufd3e "), F.col("raw_text"))
+        return spread(
+            rows.select(
+                "passage_id", "chapter", "verse",
+                F.when(F.col("passage_id") % 3 != 0, quoted).otherwise(F.col("raw_text")).alias("raw_text"),
+            )
+        )
+
     @cached_property
     def scripted(self) -> DataFrame:
         t = F.lower("text")
