@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from passagework.plans import clause_queries, retrieval_queries, text_queries  # noqa: F401
+from passagework.plans import clause_queries, evidence_queries, retrieval_queries, text_queries  # noqa: F401
