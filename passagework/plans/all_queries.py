@@ -1,3 +1,9 @@
 """Importing this module registers every query."""
 
-from passagework.plans import clause_queries, evidence_queries, retrieval_queries, text_queries  # noqa: F401
+from passagework.plans import (  # noqa: F401
+    clause_queries,
+    evidence_queries,
+    report_queries,
+    retrieval_queries,
+    text_queries,
+)
