@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from passagework.functions import text as T
 from passagework.functions import vocab as V
 from passagework.operators import evaluation as L
+from passagework.operators import inference as K
 from passagework.operators import quality as J
 from passagework.operators import reports as P
 from passagework.operators import retrieval as Q
@@ -14,6 +16,7 @@ from passagework.plans import sql_text as S
 from passagework.plans.driver_views import with_views
 from passagework.plans.registry import query
 from passagework.plans.retrieval_queries import _RULES, chapters, driver_rules
+from passagework.plans.text_queries import degenerate_views
 from passagework.sources import commentary as X
 
 # --------------------------------------------------------------------------
@@ -54,7 +57,7 @@ def a3(c):
 @query(
     "a4_ingest_report",
     with_views(
-        f"""SELECT work_slug, count(*) FILTER (WHERE ok) AS entries_ingested, count(DISTINCT chapter * 100 + verse) FILTER (WHERE ok) AS verses_covered,
+        f"""SELECT work_slug, count(*) FILTER (WHERE ok) AS verses_covered, count(DISTINCT chapter * 100 + verse) FILTER (WHERE ok) AS distinct_verses,
           count(*) FILTER (WHERE {S.strip('text')} = '') AS skipped_empty
         FROM (SELECT *, {S.strip('text')} <> '' AND chapter BETWEEN 1 AND 5 AND verse BETWEEN 1 AND 8 AS ok FROM v_entry) GROUP BY work_slug""",
         ("v_entry", _ENTRIES),
@@ -62,7 +65,7 @@ def a3(c):
 )
 def a4(c):
     report = X.ingest(entries(c), small_chapters(c))[2]
-    return report.select("work_slug", "entries_ingested", "verses_covered", "skipped_empty")
+    return report.select("work_slug", "verses_covered", "distinct_verses", "skipped_empty")
 
 
 @query("a4_ingest_passages")
@@ -158,8 +161,6 @@ def a11(c):
     ),
 )
 def a12(c):
-    from passagework.functions import text as T
-
     words = c.documents.select(
         F.col("doc_id").alias("page_id"), F.posexplode(T.words(T.collapse_whitespace("text"))).alias("ord", "word")
     ).select(
@@ -223,9 +224,7 @@ def i1(c):
 def i1_suppliers(c):
     works = c.table("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("work_slug"))
     lines = c.table("lineitem").select(
-        F.xxhash64("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "l_extendedprice").alias("passage_id"),
-        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("work_slug"),
-        F.lit(1).alias("chapter"), F.col("l_partkey").alias("verse_start"),
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("work_slug"), F.col("l_partkey").alias("verse_start")
     )
     counted = lines.groupBy("work_slug").agg(
         F.count("*").alias("passage_count"), F.countDistinct("verse_start").alias("verse_count")
@@ -653,3 +652,29 @@ def l3(c):
         F.col("n_nationkey").alias("from_id"), F.col("n_regionkey").alias("to_id"), F.lit("LIES_IN").alias("relation")
     )
     return L.two_hops(lives, lies).select("start", "via", "finish")
+
+
+# --------------------------------------------------------------------------
+# K: batch inference with a deterministic stand-in for a model
+# --------------------------------------------------------------------------
+
+@query(
+    "k1_infer_pending",
+    with_views(
+        """SELECT passage_id, status, CASE WHEN status = 'fresh' THEN md5(upper(raw_text)) WHEN status = 'passthrough' THEN md5(raw_text) END AS text_hash
+        FROM (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM v_translation t WHERE t.passage_id = p.passage_id) THEN 'cached'
+          WHEN language = 'en' THEN 'passthrough' WHEN language = 'de' THEN 'empty'
+          WHEN d.reason IS NOT NULL THEN 'rejected' ELSE 'fresh' END AS status FROM v_published p LEFT JOIN v_degenerate d ON d.doc_id = p.passage_id)""",
+        ("v_upper", "SELECT doc_id, upper(text) AS text FROM documents"), *degenerate_views("v_upper"),
+    ),
+)
+def k1(c):
+    out = K.infer_pending(c.published, c.translations, K.upper_case_translator, target="en", translator="upper")
+    return out.select("passage_id", "status", F.md5("text").alias("text_hash"))
+
+
+@query("k2_embed_passages")
+def k2(c):
+    return K.embed_pending(
+        c.published.withColumn("embedding", F.lit(None).cast("array<float>")), K.hashing_embedder(16), text="raw_text"
+    ).select("passage_id", F.size("embedding").alias("dims"))

@@ -116,28 +116,35 @@ def b7(c):
 
 
 
-def _loop(size: int) -> str:
-    return f"""contains(array_to_string(list_transform(range(1, n // {size}), lambda b:
-      CASE WHEN w[b * {size} + 1:b * {size} + {size}] = w[(b - 1) * {size} + 1:b * {size}]
-      THEN '1' ELSE '0' END), ''), '1111111')"""
+def degenerate_views(texts: str) -> tuple[tuple[str, str], ...]:
+    """Oracle views over `texts` (doc_id, text): v_degenerate(doc_id, reason)."""
+    loops = " UNION ALL ".join(
+        f"""SELECT DISTINCT doc_id, {size} AS size FROM (
+          SELECT doc_id, b - row_number() OVER (PARTITION BY doc_id ORDER BY b) AS island FROM (
+            SELECT doc_id, b, k = {size} AND block = lag(block) OVER (PARTITION BY doc_id ORDER BY b) AS same FROM (
+              SELECT doc_id, pos // {size} AS b, string_agg(word, ' ' ORDER BY pos) AS block, count(*) AS k FROM v_word GROUP BY doc_id, pos // {size}))
+          WHERE same) GROUP BY doc_id, island HAVING count(*) >= 7"""
+        for size in (1, 2, 3)
+    )
+    return (
+        ("v_words", f"SELECT doc_id, {S.words(S.collapse('text'))} AS w FROM {texts}"),
+        ("v_word", "SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM v_words"),
+        ("v_counts", "SELECT doc_id, word, count(*) AS k, min(pos) AS first FROM v_word GROUP BY doc_id, word"),
+        ("v_top", """SELECT doc_id, k AS top_n, word AS top_word FROM v_counts
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, first) = 1"""),
+        ("v_loop", f"SELECT doc_id, min(size) AS size FROM ({loops}) GROUP BY doc_id"),
+        ("v_degenerate", """SELECT w.doc_id, CASE WHEN len(w) < 12 THEN NULL WHEN top_n / CAST(len(w) AS DOUBLE) > 0.35
+            THEN 'token ''' || top_word || ''' is ' || CAST(round(top_n * 100 / CAST(len(w) AS DOUBLE)) AS INT) || '% of the output'
+            WHEN size IS NOT NULL THEN size || '-word phrase repeats 8+ times' END AS reason
+            FROM v_words w LEFT JOIN v_top t ON t.doc_id = w.doc_id LEFT JOIN v_loop l ON l.doc_id = w.doc_id"""),
+    )
 
 
 @query(
     "b8_flag_degenerate",
     with_views(
-        f"""
-    SELECT doc_id, CASE WHEN n < 12 THEN false WHEN top_n / CAST(n AS DOUBLE) > 0.35 THEN true
-      ELSE {_loop(1)} OR {_loop(2)} OR {_loop(3)} END AS degenerate,
-      CASE WHEN n < 12 THEN NULL WHEN top_n / CAST(n AS DOUBLE) > 0.35
-        THEN 'token ''' || top_word || ''' is ' || CAST(round(top_n * 100 / CAST(n AS DOUBLE)) AS INT) || '% of the output'
-        WHEN {_loop(1)} THEN '1-word phrase repeats 8+ times' WHEN {_loop(2)} THEN '2-word phrase repeats 8+ times'
-        WHEN {_loop(3)} THEN '3-word phrase repeats 8+ times' END AS degenerate_reason
-    FROM v_words LEFT JOIN v_top USING (doc_id)""",
-        ("v_words", f"SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {S.words(S.collapse('text'))} AS w FROM documents)"),
-        ("v_counts", """SELECT doc_id, word, count(*) AS k, min(pos) AS first FROM (
-            SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM v_words) GROUP BY doc_id, word"""),
-        ("v_top", """SELECT doc_id, k AS top_n, word AS top_word FROM v_counts
-            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, first) = 1"""),
+        "SELECT doc_id, reason IS NOT NULL AS degenerate, reason AS degenerate_reason FROM v_degenerate",
+        *degenerate_views("documents"),
     ),
 )
 def b8(c):

@@ -199,7 +199,8 @@ def ingest(
     """Passages, their alignments and one report row per work.
 
     entries: work_slug, chapter, verse, text, entry_id (unique integer). A passage
-    id is a hash of edition and sequence, so reruns agree. A work's numbering is
+    id is a hash of edition and sequence, so reruns agree. In the report a verse
+    that has two entries is covered twice; distinct_verses counts it once. A work's numbering is
     split over (chapter, verse, entry bucket) before it is joined up, so one long
     work is no single task.
     """
@@ -223,8 +224,8 @@ def ingest(
     )
     written = chunks.groupBy("work_slug").agg(F.count("*").alias("passages_written"))
     counted = checked.groupBy("work_slug").agg(
-        F.count_if(F.col("skip").isNull()).alias("entries_ingested"),
-        F.countDistinct(F.when(F.col("skip").isNull(), F.struct("chapter", "verse"))).alias("verses_covered"),
+        F.count_if(F.col("skip").isNull()).alias("verses_covered"),
+        F.countDistinct(F.when(F.col("skip").isNull(), F.struct("chapter", "verse"))).alias("distinct_verses"),
         F.count_if(F.col("skip") == "blank").alias("skipped_empty"),
     )
     report = counted.join(written, "work_slug", "left").na.fill(0, ["passages_written"])
