@@ -7,6 +7,7 @@ outright because the regex shorthands are ASCII-only in Java.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -28,6 +29,18 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def word_list(values: Sequence[str]) -> Column:
+    """A literal array of strings, folded by the optimizer from one literal."""
+    if not values:
+        return F.array().cast("array<string>")
+    return F.split(F.lit("\x01".join(values)), "\x01")
+
+
+def literal(value: object, schema: str) -> Column:
+    """A literal of any type, folded by the optimizer from one JSON literal."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
+
+
 # --------------------------------------------------------------------------
 # Single steps
 # --------------------------------------------------------------------------
@@ -183,8 +196,8 @@ def detect_language(c: Column | str, default: Column | str = "en") -> Column:
     latin = text.rlike("[A-Za-z]")
     markers = F.regexp_count(text, F.lit(f"[{V.URDU_LETTERS}]"))
     tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\u0600-\u06ff]+"), F.lit(0)))
-    urdu = F.size(F.array_intersect(tokens, F.lit(V.URDU_FUNCTION_WORDS)))
-    arabic = F.size(F.array_intersect(tokens, F.lit(V.ARABIC_FUNCTION_WORDS)))
+    urdu = F.size(F.array_intersect(tokens, word_list(V.URDU_FUNCTION_WORDS)))
+    arabic = F.size(F.array_intersect(tokens, word_list(V.ARABIC_FUNCTION_WORDS)))
 
     def verdict(language, confidence, reason) -> Column:
         return F.struct(
@@ -269,7 +282,7 @@ def content_words(
     """Distinct stems that carry meaning, from a matching form."""
     long_words = F.array_except(
         F.array_distinct(F.filter(F.split(_col(matching), " "), lambda w: F.length(w) >= min_word)),
-        F.lit(list(stop_words)).cast("array<string>"),
+        word_list(stop_words),
     )
     prefix = rf"^(?:{'|'.join(clitics)})(?=.{{{min_stem},}})"
     stems = F.transform(long_words, lambda w: F.regexp_replace(w, prefix, ""))

@@ -194,7 +194,7 @@ def _best_run(
 
     def step(acc: Column, w: Column) -> Column:
         hit = F.array_contains(held, w) & (F.length(w) > 1)
-        content = (F.length(w) >= content_length) & ~w.isin(list(function_words))
+        content = (F.length(w) >= content_length) & ~F.array_contains(T.word_list(function_words), w)
         length = acc["length"] + 1
         total = F.when(acc["length"] == 0, 0).otherwise(acc["content"]) + content.cast("int")
         first = F.when(acc["length"] == 0, acc["pos"]).otherwise(acc["start"])
