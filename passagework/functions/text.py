@@ -41,6 +41,17 @@ def literal(value: object, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), schema)
 
 
+def unnest(df: DataFrame, keep: Sequence, array: Column | str, name: str, pos: str | None = None) -> DataFrame:
+    """One row per element, other columns as in `keep`; empty arrays give none.
+
+    A plain explode makes the optimizer infer a filter on the array's size and
+    push it below, which computes a costly array twice. The outer form does not.
+    """
+    if pos is None:
+        return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, name)).filter(F.col(pos).isNotNull())
+
+
 # --------------------------------------------------------------------------
 # Single steps
 # --------------------------------------------------------------------------

@@ -68,11 +68,10 @@ def chunk_documents(
         F.array_append(rest, F.concat(F.element_at("_chunks", -2), F.lit("\n\n"), last)),
     ).otherwise(F.col("_chunks"))
     units = _bounded_units(structural_units(F.col(text), headers), max_chars, TARGET_CHARS)
-    out = (
+    packed = (
         df.filter(~T.is_blank(text))
         .select(*kept, units.alias("_units"))
         .select(*kept, chunks.alias("_chunks"))
-        .filter(F.size("_chunks") > 0)
-        .select(*kept, F.posexplode(folded).alias("chunk_index", "raw_text"))
     )
+    out = T.unnest(packed, kept, folded, "raw_text", "chunk_index")
     return T.with_text_forms(out, "raw_text").withColumn("char_count", F.length("raw_text"))

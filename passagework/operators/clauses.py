@@ -44,9 +44,8 @@ def extract_quotations(
     passages: DataFrame, text: str = "raw_text", brackets: Sequence[str] = T.BRACKETS
 ) -> DataFrame:
     """passage_id, ord, quotation."""
-    return passages.select("passage_id", T.compose(text).alias("_t")).select(
-        "passage_id", F.posexplode(quotations("_t", brackets)).alias("ord", "quotation")
-    )
+    composed = passages.select("passage_id", T.compose(text).alias("_t"))
+    return T.unnest(composed, ["passage_id"], quotations("_t", brackets), "quotation", "ord")
 
 
 def _span(quoted: Column, words: Column) -> Column:
@@ -109,7 +108,7 @@ def quoted_spans(
 def span_support(spans: DataFrame) -> DataFrame:
     """chapter, verse, start_word, end_word, support: passages quoting each span."""
     return (
-        spans.select("passage_id", *VERSE, F.explode("spans").alias("s"))
+        T.unnest(spans, ["passage_id", *VERSE], "spans", "s")
         .select("passage_id", *VERSE, "s.start_word", "s.end_word")
         .groupBy(*VERSE, "start_word", "end_word")
         .agg(F.countDistinct("passage_id").alias("support"))
@@ -187,42 +186,38 @@ def _best_run(
     """Best island of consecutive verse words the passage holds.
 
     Content words decide and length breaks ties; within an island the score only
-    grows, so running totals suffice. struct(score, first, last, length).
+    grows, so running totals suffice. The fold carries the held words, so they are
+    worked out once per passage. struct(first, last, best): best is the length.
     """
-    empty = "struct<start:int,length:int,content:int,pos:int,score:int,first:int,last:int,best:int>"
-    start = F.struct(*[F.lit(x) for x in (0, 0, 0, 0, 0, 0, 0, 0)]).cast(empty)
+    empty = (
+        "struct<held:array<string>,start:int,length:int,content:int,pos:int,score:int,first:int,last:int,best:int>"
+    )
+    start = F.struct(held.alias("held"), *[F.lit(0).alias(f"_{i}") for i in range(8)]).cast(empty)
 
     def step(acc: Column, w: Column) -> Column:
-        hit = F.array_contains(held, w) & (F.length(w) > 1)
+        hit = F.array_contains(acc["held"], w) & (F.length(w) > 1)
         content = (F.length(w) >= content_length) & ~F.array_contains(T.word_list(function_words), w)
         length = acc["length"] + 1
         total = F.when(acc["length"] == 0, 0).otherwise(acc["content"]) + content.cast("int")
         first = F.when(acc["length"] == 0, acc["pos"]).otherwise(acc["start"])
         score = total * 100 + length
         better = (total > 0) & (score > acc["score"])
-        return (
-            F.when(
-                hit,
-                F.struct(
-                    first.alias("start"), length.alias("length"), total.alias("content"),
-                    (acc["pos"] + 1).alias("pos"),
-                    F.when(better, score).otherwise(acc["score"]).alias("score"),
-                    F.when(better, first).otherwise(acc["first"]).alias("first"),
-                    F.when(better, acc["pos"]).otherwise(acc["last"]).alias("last"),
-                    F.when(better, length).otherwise(acc["best"]).alias("best"),
-                ),
-            )
-            .otherwise(
-                F.struct(
-                    F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).alias("content"),
-                    (acc["pos"] + 1).alias("pos"), acc["score"].alias("score"),
-                    acc["first"].alias("first"), acc["last"].alias("last"), acc["best"].alias("best"),
-                )
-            )
-            .cast(empty)
-        )
+        grown = [
+            first, length, total, acc["pos"] + 1, F.when(better, score).otherwise(acc["score"]),
+            F.when(better, first).otherwise(acc["first"]), F.when(better, acc["pos"]).otherwise(acc["last"]),
+            F.when(better, length).otherwise(acc["best"]),
+        ]
+        broken = [F.lit(0), F.lit(0), F.lit(0), acc["pos"] + 1, acc["score"], acc["first"], acc["last"], acc["best"]]
+
+        def packed(parts: list[Column]) -> Column:
+            return F.struct(acc["held"].alias("held"), *[p.alias(f"_{i}") for i, p in enumerate(parts)]).cast(empty)
 
-    return F.aggregate(words, start, step)
+        return F.when(hit, packed(grown)).otherwise(packed(broken))
+
+    return F.aggregate(
+        words, start, step,
+        lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last"), acc["best"].alias("best")),
+    )
 
 
 def align_passages(
@@ -249,38 +244,36 @@ def align_passages(
             ),
         )
     )
-    by_overlap = F.col("_run.best") >= 2
-    overlap = F.transform(
-        "clauses",
-        lambda c: F.struct(
-            (F.least("_last", c["end_word"]) - F.greatest("_first", c["start_word"]) + 1).alias("matched"),
-            (-c["clause_index"]).alias("index"), (c["end_word"] - c["start_word"] + 1).alias("size"),
-        ),
+    run = _best_run(F.col("words"), F.array_intersect("words", "passage_words"), function_words, content_length)
+    evidence = F.when(
+        F.col("_quote").isNotNull(),
+        F.struct(F.lit("QUOTED").alias("basis"), F.col("_quote.first").alias("first"), F.col("_quote.last").alias("last")),
+    ).when(
+        F.col("_run.best") >= 2,
+        F.struct(F.lit("OVERLAP").alias("basis"), F.col("_run.first").alias("first"), F.col("_run.last").alias("last")),
     )
-    base = F.when(F.col("basis") == "QUOTED", QUOTED_CONFIDENCE).otherwise(OVERLAP_CONFIDENCE)
-    return (
-        spans.join(per_verse, VERSE)
-        .withColumn("_held", F.array_intersect("words", "passage_words"))
-        .withColumn("_quote", longest)
-        .withColumn(
-            "_run",
-            F.when(
-                F.col("_quote").isNull(),
-                _best_run(F.col("words"), F.col("_held"), function_words, content_length),
+    best = F.array_max(
+        F.transform(
+            "clauses",
+            lambda c: F.struct(
+                (F.least("_e.last", c["end_word"]) - F.greatest("_e.first", c["start_word"]) + 1).alias("matched"),
+                (-c["clause_index"]).alias("index"), (c["end_word"] - c["start_word"] + 1).alias("size"),
             ),
         )
-        .filter(F.col("_quote").isNotNull() | by_overlap)
-        .withColumns(
-            {
-                "basis": F.when(F.col("_quote").isNotNull(), "QUOTED").otherwise("OVERLAP"),
-                "_first": F.coalesce("_quote.first", "_run.first"),
-                "_last": F.coalesce("_quote.last", "_run.last"),
-            }
-        )
-        .withColumn("_best", F.array_max(overlap))
-        .filter(F.col("_best.matched") > 0)
+    )
+    base = F.when(F.col("_e.basis") == "QUOTED", QUOTED_CONFIDENCE).otherwise(OVERLAP_CONFIDENCE)
+    # Rows without evidence go by unnesting an empty array: a filter would be
+    # pushed below and repeat the whole search.
+    searched = (
+        spans.join(per_verse, VERSE)
+        .withColumn("_quote", longest)
+        .withColumn("_run", F.when(F.col("_quote").isNull(), run))
+    )
+    held = T.unnest(searched, ["passage_id", *VERSE, "clauses"], F.array(evidence), "_e")
+    return (
+        T.unnest(held, ["passage_id", *VERSE, "_e"], F.filter(F.array(best), lambda b: b["matched"] > 0), "_best")
         .select(
-            "passage_id", *VERSE, (-F.col("_best.index")).alias("clause_index"), "basis",
+            "passage_id", *VERSE, (-F.col("_best.index")).alias("clause_index"), F.col("_e.basis").alias("basis"),
             F.col("_best.matched").alias("matched_words"),
             F.round(base * F.least(F.lit(1.0), F.col("_best.matched") / F.col("_best.size")), 3).alias("confidence"),
         )
@@ -346,8 +339,7 @@ def mine_quotations(
             ),
         )
         return (
-            df.select(key, T.words(T.matching_form("text")).alias("_w"))
-            .select(key, F.explode(grams).alias("g"))
+            T.unnest(df.select(key, T.words(T.matching_form("text")).alias("_w")), [key], grams, "g")
             .select(key, F.col("g.pos").alias(position), F.col("g.gram").alias("gram"))
         )
 

@@ -43,7 +43,7 @@ def split_generated(
     long = F.filter(F.transform(raw, T.strip), lambda s: F.length(s) >= min_chars)
     marker = r"\[(\d{1,2})\]"
     return (
-        texts.select(*kept, F.posexplode(long).alias("ord", "_s"))
+        T.unnest(texts, kept, long, "_s", "ord")
         .select(
             *kept, "ord", T.strip(F.regexp_replace("_s", marker, "")).alias("sentence"),
             F.regexp_extract_all("_s", F.lit(marker), F.lit(1)).cast("array<int>").alias("declared"),
@@ -60,11 +60,9 @@ def support_scores(
     marker, text. Words meet by an equi-join inside the verse, and a verse has at
     most ten passages, so one word matches at most ten rows.
     """
-    held = evidence.select(
-        *VERSE, "marker",
-        F.explode(T.content_words(T.matching_form("text"), stop_words=stop_words)).alias("word"),
-    )
-    asked = sentences.select(*key, "ord", *VERSE, F.explode("words").alias("word"))
+    stems = T.content_words(T.matching_form("text"), stop_words=stop_words)
+    held = T.unnest(evidence, [*VERSE, "marker"], stems, "word")
+    asked = T.unnest(sentences, [*key, "ord", *VERSE], "words", "word")
     return asked.join(held, [*VERSE, "word"]).groupBy(*key, "ord", "marker").agg(F.count("*").alias("shared"))
 
 

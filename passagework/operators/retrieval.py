@@ -125,7 +125,7 @@ def index_passages(passages: DataFrame, text: str = "raw_text", *, stem: bool =
 
 def postings(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """term, passage_id, tf. A vocabulary (column `term`) limits the terms kept."""
-    terms = index.select("passage_id", F.explode("tokens").alias("term"))
+    terms = T.unnest(index, ["passage_id"], "tokens", "term")
     if vocabulary is not None:
         terms = terms.join(bounded(vocabulary.select("term").distinct(), 200_000), "term", "left_semi")
     return terms.groupBy("passage_id", "term").agg(F.count("*").alias("tf"))
@@ -141,7 +141,7 @@ def parse_search(queries: DataFrame, text: str = "text", *, stem: bool = False)
     marked = F.array_join(
         F.transform(items, lambda i: F.when(F.lower(i) == "or", branch).otherwise(i)), item_mark
     )
-    out = queries.select("query_id", F.posexplode(F.split(marked, branch)).alias("branch", "_branch"))
+    out = T.unnest(queries, ["query_id"], F.split(marked, branch), "_branch", "branch")
     parts = F.filter(F.split("_branch", item_mark), lambda i: i != "")
     out = out.withColumn("_parts", parts)
 
@@ -200,10 +200,24 @@ def sparse_search(
         .filter(F.col("_have") == F.col("_need"))
         .select("query_id", "branch", "term")
     )
-    candidates = (
-        known.join(posted.select("term", "passage_id"), "term")
-        .join(branches, ["query_id", "branch"])
-        .select("query_id", "branch", "passage_id", "terms", "excluded", "phrases")
+    if query_refs is None:
+        hits = known.join(posted.select("term", "passage_id"), "term")
+    else:
+        # A query with ranges meets the postings of its term on its verses only.
+        places = _verses(query_refs).select("query_id", "chapter", "verse").distinct()
+        placed = posted.select("term", "passage_id").join(
+            _verses(alignments).select("passage_id", "chapter", "verse").distinct(), "passage_id"
+        )
+        ranged = (
+            known.join(places, "query_id").join(placed, ["term", "chapter", "verse"])
+            .select("query_id", "branch", "passage_id").distinct()
+        )
+        free = known.join(places.select("query_id").distinct(), "query_id", "left_anti")
+        hits = ranged.unionByName(
+            free.join(posted.select("term", "passage_id"), "term").select("query_id", "branch", "passage_id")
+        )
+    candidates = hits.join(branches, ["query_id", "branch"]).select(
+        "query_id", "branch", "passage_id", "terms", "excluded", "phrases"
     )
     held = posted.groupBy("passage_id").agg(
         F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("held")
@@ -228,8 +242,6 @@ def sparse_search(
     )
     found = plain.unionByName(phrased).distinct()
 
-    if query_refs is not None:
-        found = restrict_to_refs(found, query_refs, alignments)
     found = with_work_filter(
         found.join(index.select("passage_id", "work_slug", "n_tokens"), "passage_id"), query_works
     )
@@ -249,33 +261,6 @@ def sparse_search(
     return top_by(scored, ["query_id"], [F.desc("score"), "passage_id"], limit, "rank")
 
 
-def restrict_to_refs(
-    found: DataFrame, query_refs: DataFrame, alignments: DataFrame
-) -> DataFrame:
-    """Drop hits outside the ranges of queries that have ranges."""
-    ranges = query_refs.groupBy("query_id").agg(
-        F.collect_set(F.struct("chapter", "verse_start", "verse_end")).alias("_refs")
-    )
-    places = alignments.groupBy("passage_id").agg(
-        F.collect_set(F.struct("chapter", "verse_start", "verse_end")).alias("_places")
-    )
-    overlap = F.exists(
-        "_refs",
-        lambda r: F.exists(
-            F.col("_places"),
-            lambda p: (p["chapter"] == r["chapter"])
-            & (p["verse_start"] <= r["verse_end"])
-            & (r["verse_start"] <= p["verse_end"]),
-        ),
-    )
-    return (
-        found.join(ranges, "query_id", "left")
-        .join(places, "passage_id", "left")
-        .filter(F.col("_refs").isNull() | F.coalesce(overlap, F.lit(False)))
-        .drop("_refs", "_places")
-    )
-
-
 # --------------------------------------------------------------------------
 # Vectors
 # --------------------------------------------------------------------------
@@ -531,7 +516,7 @@ def contained_terms(
     Terms must hold at least `gram` characters. A text meets a term only if it
     holds the term's first gram, so no pair without it is ever formed.
     """
-    probes = texts.withColumn("_gram", F.explode(_grams(F.col(text), gram)))
+    probes = T.unnest(texts, texts.columns, _grams(F.col(text), gram), "_gram")
     keyed = terms.filter(F.length(term) >= gram).withColumn("_gram", F.substring(term, 1, gram))
     return probes.join(keyed, "_gram").filter(F.contains(F.col(text), F.col(term))).drop("_gram")
 

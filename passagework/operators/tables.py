@@ -24,9 +24,10 @@ def bounded(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on input that has fewer splits than the session has cores.
+    """Use every core on a scan that has fewer splits than the session has cores.
 
     Input with enough splits, which is any table of some size, passes unchanged.
+    For plain scans only: counting the splits of a join would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -101,9 +101,8 @@ def f1(c):
         CAST(end_word AS INT) AS end_word FROM v_span"""),
 )
 def f2(c):
-    return spans(c).select("passage_id", "chapter", "verse", F.explode("spans").alias("s")).select(
-        "passage_id", "chapter", "verse", "s.*"
-    )
+    keys = ["passage_id", "chapter", "verse"]
+    return T.unnest(spans(c), keys, "spans", "s").select(*keys, "s.*")
 
 
 @query(

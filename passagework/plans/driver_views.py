@@ -145,7 +145,7 @@ class DriverCorpus:
     def unnumbered_passages(self) -> DataFrame:
         cited = F.col("passage_id") % 4 == 0
         return (
-            self.table("documents")
+            self.documents
             .join(self.table("labels"), "doc_id", "left")
             .select(
                 F.col("doc_id").alias("passage_id"), F.col("source").alias("work_slug"),
@@ -236,11 +236,9 @@ class DriverCorpus:
         step = F.floor(F.col("passage_id") / 40)
         span = F.slice("words", (1 + step % 4 * 5).cast("int"), (4 + F.floor(F.col("passage_id") / 160) % 2).cast("int"))
         quoted = F.concat(F.lit("\ufd3f"), F.array_join(span, " "), F.lit("\ufd3e "), F.col("raw_text"))
-        return spread(
-            rows.select(
-                "passage_id", "chapter", "verse",
-                F.when(F.col("passage_id") % 3 != 0, quoted).otherwise(F.col("raw_text")).alias("raw_text"),
-            )
+        return rows.select(
+            "passage_id", "chapter", "verse",
+            F.when(F.col("passage_id") % 3 != 0, quoted).otherwise(F.col("raw_text")).alias("raw_text"),
         )
 
     @cached_property

@@ -161,9 +161,8 @@ def a11(c):
     ),
 )
 def a12(c):
-    words = c.documents.select(
-        F.col("doc_id").alias("page_id"), F.posexplode(T.words(T.collapse_whitespace("text"))).alias("ord", "word")
-    ).select(
+    split = T.words(T.collapse_whitespace("text"))
+    words = T.unnest(c.documents, [F.col("doc_id").alias("page_id")], split, "word", "ord").select(
         "page_id", "ord", F.floor(F.col("ord") / 100).cast("int").alias("block"), F.lit(0).alias("paragraph"),
         F.floor(F.col("ord") / 10).cast("int").alias("line"), "word",
         (F.length("word") * 7 % 101 - 1).cast("double").alias("confidence"),

@@ -219,9 +219,7 @@ _LIMIT = 120
     ),
 )
 def b12(c):
-    return c.documents.select(
-        "doc_id", F.posexplode(T.split_sentences("text", limit=_LIMIT)).alias("piece", "text")
-    )
+    return T.unnest(c.documents, ["doc_id"], T.split_sentences("text", limit=_LIMIT), "text", "piece")
 
 
 @query(
