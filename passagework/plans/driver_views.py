@@ -101,7 +101,7 @@ def with_views(body: str, *extra: tuple[str, str]) -> str:
     visit(body)
     if not needed:
         return body
-    ctes = ",\n".join(f"{n} AS ({named[n]})" for n in needed)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({named[n]})" for n in needed)
     return f"WITH {ctes}\n{body}"
 
 

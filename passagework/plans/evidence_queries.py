@@ -150,13 +150,13 @@ def e6(c):
     SELECT query_id, chapter, verse, verse_text, coalesce(string_agg(slug || '=' || text, '|' ORDER BY slug), '') AS translations FROM (
       SELECT DISTINCT r.query_id, v.chapter, v.verse, v.text AS verse_text FROM v_query_ref r JOIN v_verse v ON v.chapter = r.chapter
         AND v.verse BETWEEN r.verse_start AND r.verse_end) w
-    LEFT JOIN (SELECT 't' || item_id % 2 AS slug, chapter AS c, verse AS v, upper(text) AS text FROM v_verse WHERE item_id % 3 <> 0) t
+    LEFT JOIN (SELECT 't' || item_id % 2 AS slug, chapter AS c, verse AS v, lower(text) AS text FROM v_verse WHERE item_id % 3 <> 0) t
       ON t.c = w.chapter AND t.v = w.verse GROUP BY query_id, chapter, verse, verse_text"""),
 )
 def e7(c):
     i = F.col("item_id")
     translations = c.verses.select(
-        F.concat(F.lit("t"), (i % 2).cast("string")).alias("slug"), "chapter", "verse", F.upper("text").alias("text"),
+        F.concat(F.lit("t"), (i % 2).cast("string")).alias("slug"), "chapter", "verse", F.lower("text").alias("text"),
         F.when(i % 3 != 0, "en").otherwise("ar").alias("language"),
     )
     out = E.verse_texts(c.query_refs, c.verses, translations)

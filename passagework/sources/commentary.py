@@ -119,7 +119,7 @@ def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
     page_id (file name), ord, block, paragraph, line, word, confidence.
     """
     lines = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.tsv").text(path)
+        spark.read.option("pathGlobFilter", "*.tsv").text(path, wholetext=True)
         .select(
             F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.tsv$", 1).alias("page_id"),
             F.posexplode(F.split("value", r"\r?\n")).alias("ord", "row"),
@@ -157,7 +157,7 @@ def rebuild_pages(words: DataFrame) -> DataFrame:
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: x["text"]), "\n"
         ).alias("text"),
-        (F.sum("c") / F.sum("n") / 100).alias("confidence"),
+        (F.sum("c") / (F.sum("n") * 100)).alias("confidence"),
     )
 
 
