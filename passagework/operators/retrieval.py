@@ -272,29 +272,32 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / norms
 
 
+#: Query rows scored at once inside a tile, so that scores stay a few megabytes.
+_BLOCK_ROWS = 256
+
+
 def _best_in_tile(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "passage_id": [], "similarity": []})
-        ids = right["passage_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        scores = np.round(_unit(left["vector"]) @ _unit(right["vector"]).T, 12)[:, order]
-        allowed = np.ones(scores.shape, dtype=bool)
-        slugs = right["work_slug"].to_numpy()[order]
-        for row, works in enumerate(left["works"]):
-            if works is not None:
-                allowed[row] = np.isin(slugs, np.asarray(list(works)))
-        best = np.argsort(-np.where(allowed, scores, -np.inf), axis=1, kind="stable")[:, :k]
-        keep = np.take_along_axis(allowed, best, axis=1)
-        q = np.repeat(left["query_id"].to_numpy(), best.shape[1]).reshape(best.shape)
-        return pd.DataFrame(
-            {
-                "query_id": q[keep],
-                "passage_id": ids[best[keep]],
-                "similarity": np.take_along_axis(scores, best, axis=1)[keep],
-            }
-        )
+        right = right.sort_values("passage_id", kind="stable")
+        ids, slugs = right["passage_id"].to_numpy(), right["work_slug"].to_numpy()
+        corpus = _unit(right["vector"]).T
+        out = []
+        for first in range(0, len(left), _BLOCK_ROWS):
+            block = left.iloc[first : first + _BLOCK_ROWS]
+            scores = np.round(_unit(block["vector"]) @ corpus, 12)
+            for row, works in enumerate(block["works"]):
+                if works is not None:
+                    scores[row, ~np.isin(slugs, np.asarray(list(works)))] = -np.inf
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            found = np.take_along_axis(scores, best, axis=1)
+            keep = np.isfinite(found)
+            q = np.repeat(block["query_id"].to_numpy(), best.shape[1]).reshape(best.shape)
+            out.append(
+                pd.DataFrame({"query_id": q[keep], "passage_id": ids[best[keep]], "similarity": found[keep]})
+            )
+        return pd.concat(out)
 
     return run
 

@@ -9,6 +9,7 @@ from passagework.functions import text as T
 from passagework.functions import vocab as V
 from passagework.operators.chunking import chunk_documents
 from passagework.operators.tables import number_within
+from passagework.session import materialise
 
 ENTRY_SCHEMA = "surah int, ayah int, text string, _corrupt_record string"
 
@@ -205,7 +206,8 @@ def ingest(
     work is no single task.
     """
     checked = check_entries(entries, chapters)
-    chunks = chunk_documents(checked.filter("skip is null").drop("skip"), "text", target=target)
+    # Numbering and report read the chunks again, so they are written once.
+    chunks = materialise(chunk_documents(checked.filter("skip is null").drop("skip"), "text", target=target))
     numbered = number_within(
         chunks, ["work_slug"], ["chapter", "verse", "entry_id", "chunk_index"],
         {"_c": F.col("chapter"), "_v": F.col("verse"), "_e": F.floor(F.col("entry_id") / ids_per_bucket)},

@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+from passagework.operators import evidence as E
 from passagework.operators import inference as K
 from passagework.operators import quality as J
 from passagework.operators import tables as A
@@ -121,3 +122,34 @@ def test_inference_statuses(spark):
     assert {r.passage_id: r.status for r in K.lookup_status(asked, out).collect()} == {1: "fresh", 77: "not_found"}
     off = K.infer_pending(p, stored, K.upper_case_translator, target="en", translator="u", available=False)
     assert {r.status for r in off.filter("passage_id in (1, 3)").collect()} == {"unavailable"}
+
+
+def test_log_appends_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "run_id int, rule_key string")
+    E.append_log(first, log, ["run_id", "rule_key"])
+    E.append_log(first.union(spark.createDataFrame([(3, "c")], first.schema)), log, ["run_id", "rule_key"])
+    assert sorted(r.run_id for r in spark.read.parquet(log).collect()) == [1, 2, 3]
+
+
+def test_only_written_partitions_are_replaced(spark, tmp_path):
+    out = str(tmp_path / "p")
+    A.write_replacing(spark.createDataFrame([("x", 1), ("y", 2)], "edition string, n int"), out, ["edition"])
+    A.write_replacing(spark.createDataFrame([("y", 9)], "edition string, n int"), out, ["edition"])
+    assert sorted((r.edition, r.n) for r in spark.read.parquet(out).collect()) == [("x", 1), ("y", 9)]
+
+
+def test_ingest_numbers_and_ids_repeat(spark):
+    entries = spark.createDataFrame(
+        [(1, "w", 1, 2, "b" * 1300 + "\n\n" + "c" * 1300), (2, "w", 1, 1, "a"), (3, "w", 1, 99, "out"), (4, "w", 2, 1, " ")],
+        "entry_id long, work_slug string, chapter int, verse int, text string",
+    )
+    chapters = spark.createDataFrame([(1, 7), (2, 5)], "number int, verse_count int")
+    runs = []
+    for _ in range(2):
+        passages, places, report = X.ingest(entries, chapters)
+        runs.append(sorted((r.sequence_index, r.raw_text[:1], r.passage_id) for r in passages.collect()))
+    assert runs[0] == runs[1] and [(i, t) for i, t, _ in runs[0]] == [(0, "a"), (1, "b"), (2, "c")]
+    assert {(r.verse_start, r.confidence) for r in places.collect()} == {(1, 0.99), (2, 0.99)}
+    [r] = report.collect()
+    assert (r.passages_written, r.verses_covered, r.distinct_verses, r.skipped_empty) == (3, 2, 2, 1)
