@@ -335,7 +335,7 @@ def dense_search(
     if query_refs is not None:
         with_refs = query_refs.select("query_id").distinct()
         ranged = _dense_in_ranges(
-            q.join(with_refs, "query_id", "left_semi"), p, query_refs, alignments
+            q.join(with_refs, "query_id", "left_semi"), p, query_refs, alignments, limit, tile_rows
         )
         q = q.join(with_refs, "query_id", "left_anti")
 
@@ -355,12 +355,10 @@ def dense_search(
             "_q": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_tiles - 1).cast("long"))),
         }
     )
-    id_types = {f.name: f.dataType.simpleString() for f in [*q.schema, *p.schema]}
-    schema = f"query_id {id_types['query_id']}, passage_id {id_types['passage_id']}, similarity double"
     local = (
         left.groupBy("_q", "_p")
         .cogroup(right.groupBy("_q", "_p"))
-        .applyInPandas(_best_in_tile(limit), schema)
+        .applyInPandas(_best_in_tile(limit), _hit_schema(q, p))
     )
     if ranged is not None:
         local = local.unionByName(ranged)
@@ -370,31 +368,47 @@ def dense_search(
     )
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(x, y, lambda i, j: i.cast("double") * j.cast("double")),
-            F.lit(0.0), lambda acc, v: acc + v,
-        )
-
-    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0))
+def _hit_schema(q: DataFrame, p: DataFrame) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in [*q.schema, *p.schema]}
+    return f"query_id {kinds['query_id']}, passage_id {kinds['passage_id']}, similarity double"
 
 
 def _dense_in_ranges(
-    q: DataFrame, p: DataFrame, query_refs: DataFrame, alignments: DataFrame
+    q: DataFrame, p: DataFrame, query_refs: DataFrame, alignments: DataFrame, limit: int, tile_rows: int
 ) -> DataFrame:
-    wanted = _verses(query_refs).select("query_id", "chapter", "verse").distinct()
-    pairs = (
-        wanted.join(_verses(alignments).select("passage_id", "chapter", "verse"), ["chapter", "verse"])
-        .select("query_id", "passage_id").distinct()
-    )
-    return (
-        pairs.join(q, "query_id")
-        .join(p.withColumnRenamed("vector", "_v"), "passage_id")
-        .filter(F.col("works").isNull() | F.array_contains("works", F.col("work_slug")))
-        .select("query_id", "passage_id", F.round(_cosine(F.col("vector"), F.col("_v")), 12).alias("similarity"))
-    )
+    """Best passages per query among those on its verses, tile by tile.
+
+    Queries and passages meet per verse. A popular verse is cut into as many tiles
+    as its counts ask for, and a tile emits at most `limit` rows per query.
+    """
+    place = ["chapter", "verse"]
+
+    def placed(df: DataFrame, key: str) -> DataFrame:
+        return _verses(df).select(*[F.col(c).alias(c) for c in (key, *place)]).distinct()
+
+    asked, held = placed(query_refs, "query_id"), placed(alignments, "passage_id")
+
+    def tiles(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*place).agg(F.ceil(F.count("*") / tile_rows).alias(name))
+
+    sizes = bounded(tiles(asked, "_qn").join(tiles(held, "_pn"), place))
+    zero = F.lit(0).cast("long")
+    left = (
+        asked.join(sizes, place).join(q, "query_id")
+        .withColumns(
+            {"_q": F.pmod(F.xxhash64("query_id"), F.col("_qn")), "_p": F.explode(F.sequence(zero, F.col("_pn") - 1))}
+        ).drop("_qn", "_pn")
+    )
+    right = (
+        held.join(sizes, place).join(p, "passage_id")
+        .withColumns(
+            {"_p": F.pmod(F.xxhash64("passage_id"), F.col("_pn")), "_q": F.explode(F.sequence(zero, F.col("_qn") - 1))}
+        ).drop("_qn", "_pn")
+    )
+    tile = [*place, "_q", "_p"]
+    local = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(_best_in_tile(limit), _hit_schema(q, p))
+    # A passage may lie on several verses of one query.
+    return local.groupBy("query_id", "passage_id").agg(F.max("similarity").alias("similarity"))
 
 
 # --------------------------------------------------------------------------
