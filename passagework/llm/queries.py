@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from passagework.llm.common import table
 from passagework.llm.decontamination import contamination
+from passagework.llm.language import fit as fit_languages
+from passagework.llm.language import held_out, identify
+from passagework.llm.personal_data import find_personal_data
+from passagework.llm.personal_data import fit as fit_personal_data
 from passagework.llm.pieces import decode_pieces, encode_pieces
 from passagework.llm.sharding import shard_documents
 from passagework.llm.token_files import token_digests, write_documents
@@ -38,6 +42,14 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~held_out()))
+    found = identify(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @registered
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
@@ -84,6 +96,12 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)
 """
 
 
+@registered
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_personal_data(docs, fit_personal_data(docs))
+
+
 @registered
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), 24)
