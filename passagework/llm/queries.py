@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from passagework.llm.common import table
 from passagework.llm.decontamination import contamination
+from passagework.llm.embeddings import near_vectors
 from passagework.llm.language import fit as fit_languages
 from passagework.llm.language import held_out, identify
 from passagework.llm.personal_data import find_personal_data
@@ -29,6 +30,11 @@ def registered(f):
     return f
 
 
+@registered
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 @registered
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
