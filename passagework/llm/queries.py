@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from passagework.llm.common import table
 from passagework.llm.decontamination import contamination
 from passagework.llm.embeddings import near_vectors
+from passagework.llm.jaccard import similar_documents
 from passagework.llm.language import fit as fit_languages
 from passagework.llm.language import held_out, identify
 from passagework.llm.personal_data import find_personal_data
@@ -63,6 +64,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path)
 
 
+@registered
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_documents(table(spark, sf_dir, "documents"), length=5, threshold=0.8)
+    return found.select("doc_id", "class_id", "n_links", "kept")
+
+
 @registered
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
