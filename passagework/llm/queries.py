@@ -17,8 +17,10 @@ from passagework.llm.language import fit as fit_languages
 from passagework.llm.language import held_out, identify
 from passagework.llm.personal_data import find_personal_data
 from passagework.llm.personal_data import fit as fit_personal_data
+from passagework.llm.phrases import remove_repeated_phrases
 from passagework.llm.pieces import decode_pieces, encode_pieces
 from passagework.llm.sharding import shard_documents
+from passagework.llm.suffixes import remove_repeated_strings
 from passagework.llm.token_files import token_digests, write_documents
 from passagework.session import shared_folder
 
@@ -70,6 +72,18 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "kept")
 
 
+@registered
+def op6_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_phrases(table(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@registered
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_strings(table(spark, sf_dir, "documents"), window=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @registered
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
