@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from passagework.llm.common import chunks
 
@@ -211,3 +212,14 @@ def decode_pieces(tokens: DataFrame, model_path: str) -> DataFrame:
     return tokens.select(*columns).mapInArrow(
         decode, "doc_id long, ids array<int>, span_starts array<int>, span_ends array<int>, decoded string"
     )
+
+
+def piece_digests(tokens: DataFrame) -> DataFrame:
+    """Per row of decoded tokens: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes (of the text that the spans cover)."""
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("span_ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),
+    )
