@@ -8,6 +8,8 @@ exact phrases; windows in which most terms agree are proximity matches.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,5 +135,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """`docs` without the rows that hold an item's window; all columns stay."""
-    bad = phrase_matches(docs, items, window).select(F.col("key").alias("_key")).distinct()
-    return docs.join(bad, row_key(docs) == F.col("_key"), "left_anti")
+    name = f"_key_{uuid.uuid4().hex}"  # clashes with no column of docs
+    bad = phrase_matches(docs, items, window).select(F.col("key").alias(name)).distinct()
+    return docs.join(bad, row_key(docs) == F.col(name), "left_anti")

@@ -9,6 +9,7 @@ gathered in components; within them every pair is verified on its whole shingle
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,6 +111,8 @@ def candidates(nodes: DataFrame, threshold: float, trees: int, longest: int, pre
 
     def meet(group: pa.Table) -> Iterator[dict]:
         ids = group.column("id").to_numpy()
+        if len(ids) < 2:
+            return
         signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=np.uint32).reshape(len(ids), size)
         order = np.lexsort(signatures.T[::-1])
         ids, signatures = ids[order], signatures[order]
@@ -243,10 +246,10 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     # A class keeps one row key; rows without a class (no words, no doc_id) each stay.
     one = held.where("doc_id is not null").groupBy("class_id").agg(F.min("row").alias("row"))
     wordless = held.where("n_links = 0").select("row")
-    stay = materialise(one.select("row").union(wordless).distinct().select(F.col("row").alias("_row")))
-    kept = docs.join(stay, row_key(docs) == F.col("_row"), "left_semi")
+    name = f"_row_{uuid.uuid4().hex}"  # clashes with no column of docs
+    stay = materialise(one.select("row").union(wordless).distinct().select(F.col("row").alias(name)))
+    kept = docs.join(stay, row_key(docs) == F.col(name), "left_semi")
     twice = found.where("kept and n_links > 0").groupBy("row").count().where("count > 1")
     if not twice.take(1):
         return kept
-    keyed = kept.withColumn("_row", row_key(kept))
-    return keyed.dropDuplicates(["_row"]).drop("_row")
+    return kept.withColumn(name, row_key(kept)).dropDuplicates([name]).drop(name)

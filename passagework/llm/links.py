@@ -34,13 +34,14 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def block_pairs(members: DataFrame, group: list[str], weight: str | None = None, block: int = BLOCK, block_weight: int = 1 << 20) -> DataFrame:
+def block_pairs(members: DataFrame, group: list[str], weight: str | None = None, block: int | None = None, block_weight: int = 1 << 20) -> DataFrame:
     """Deal the members of each group into blocks and give each pair of blocks its own key.
 
     Adds `task` (long, one per pair of blocks), `left` and `right` (whether the row stands on that side; both for a
     block against itself). `id` deals members. A group of one block has one task; a group of m members takes m / block
     tasks per member, so no task ever holds more than about two blocks. Groups of one member are left out.
     """
+    block = block or BLOCK
     total = F.sum(weight) if weight else F.lit(0)
     sizes = members.groupBy(*group).agg(F.count("*").alias("_m"), total.alias("_w")).where("_m > 1")
     if weight:
