@@ -34,9 +34,12 @@ def row_key(docs: DataFrame):
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """(item_id, at, term, n): the words of each item with their positions and number; items without words have no rows."""
-    listed = items.select("item_id", words().alias("words")).where(F.size("words") > 0).distinct()
-    return listed.select("item_id", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
+    """(item, item_id, n, at, term): the words of each distinct item row, their positions and number; `item` identifies the row."""
+    listed = items.select(
+        F.xxhash64(F.lit(2), F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))).alias("item"),
+        "item_id", words().alias("words"),
+    ).where(F.size("words") > 0).distinct()
+    return listed.select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
 
 
 def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -47,30 +50,35 @@ def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> Data
     return materialise(found.select("term", "key", "pos"))
 
 
-def alignments(postings: DataFrame, terms: DataFrame, window: int) -> DataFrame:
-    """Distinct (item_id, key, shift) at which the two rarest terms of some window of the item agree."""
+def alignments(postings: DataFrame, terms: DataFrame, window: int, missing: int = 0) -> DataFrame:
+    """Distinct (item, key, shift) at which an item may stand in a document.
+
+    With nothing missing the two rarest terms of some window must both be in place. Where `missing` terms may be out of
+    place, one of the missing + 1 rarest must still be in place, so each of those is followed alone.
+    """
     counts = postings.groupBy("term").agg(F.count("*").alias("df"))
     # One window starts at each position that has enough words left; a short item is one window.
     known = terms.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     starts = F.sequence(F.greatest(F.lit(0), F.col("at") - (window - 1)), F.least("at", F.greatest(F.lit(0), F.col("n") - window)))
-    inside = known.select("item_id", "at", "term", "df", F.explode(starts).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("item_id", "start").orderBy("df", "at"))
-    rarest = inside.withColumn("rank", rank).where("rank <= 2")
-    first = rarest.where("rank = 1").select("item_id", "start", "term", "at")
+    inside = known.select("item", "at", "term", "df", F.explode(starts).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("item", "start").orderBy("df", "at"))
+    rarest = inside.withColumn("rank", rank).where(F.col("rank") <= max(2, missing + 1))
+    if missing:
+        each = materialise(rarest.select("item", "term", "at").distinct())
+        return postings.join(each, "term").select("item", "key", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    second = rarest.where("rank = 2").select("item", "start", F.col("term").alias("term2"), F.col("at").alias("at2"))
     both = materialise(
-        first.join(
-            rarest.where("rank = 2").select("item_id", "start", F.col("term").alias("term2"), F.col("at").alias("at2")),
-            ["item_id", "start"], "left",
-        ).select("item_id", "term", "at", "term2", "at2").distinct()
+        rarest.where("rank = 1").select("item", "start", "term", "at").join(second, ["item", "start"], "left")
+        .select("item", "term", "at", "term2", "at2").distinct()
     )
-    place = ["item_id", "at", "at2", "key", "shift"]
-    one = postings.join(both, "term").select("item_id", "at", "at2", "key", (F.col("pos") - F.col("at")).alias("shift"))
+    place = ["item", "at", "at2", "key", "shift"]
+    one = postings.join(both, "term").select("item", "at", "at2", "key", (F.col("pos") - F.col("at")).alias("shift"))
     two = (
         postings.withColumnRenamed("term", "term2").join(both.where("at2 is not null"), "term2")
-        .select("item_id", "at", "at2", "key", (F.col("pos") - F.col("at2")).alias("shift"))
+        .select("item", "at", "at2", "key", (F.col("pos") - F.col("at2")).alias("shift"))
     )
     met = one.where("at2 is not null").join(two, place, "left_semi")
-    return met.unionByName(one.where("at2 is null")).select("item_id", "key", "shift").distinct()
+    return met.unionByName(one.where("at2 is null")).select("item", "key", "shift").distinct()
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10, near: int | None = None) -> DataFrame:
@@ -80,27 +88,28 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10, near: in
     exact = false are added: alignments without an exact phrase in which one window has at least `near` words in place.
     """
     terms = materialise(item_terms(items))
+    names = terms.select("item", "item_id").distinct()
     postings = build_postings(docs, terms.select("term").distinct())
-    places = materialise(alignments(postings, terms, window))
-    expected = places.join(terms, "item_id").select("item_id", "key", "shift", "n", "at", "term", (F.col("shift") + F.col("at")).alias("pos"))
-    agreed = expected.join(postings, ["key", "pos", "term"]).select("item_id", "key", "shift", "n", "at").distinct()
-    line = Window.partitionBy("item_id", "key", "shift").orderBy("at")
+    places = materialise(alignments(postings, terms, window, 0 if near is None else max(0, window - near)))
+    expected = places.join(terms, "item").select("item", "key", "shift", "n", "at", "term", (F.col("shift") + F.col("at")).alias("pos"))
+    agreed = expected.join(postings, ["key", "pos", "term"]).select("item", "key", "shift", "n", "at").distinct()
+    line = Window.partitionBy("item", "key", "shift").orderBy("at")
     runs = (
         agreed.withColumn("run", F.col("at") - F.row_number().over(line))
-        .groupBy("item_id", "key", "shift", "n", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+        .groupBy("item", "key", "shift", "n", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"))
         .where(F.col("b") - F.col("a") + 1 >= F.least(F.lit(window), F.col("n")))
     )
-    exact = runs.select("key", "item_id", (F.col("a") + F.col("shift")).alias("first_pos"), (F.col("b") + F.col("shift")).alias("last_pos"), F.lit(True).alias("exact"))
-    if near is None:
-        return exact
-    span = line.rangeBetween(-(window - 1), Window.currentRow)
-    close = (
-        agreed.withColumn("held", F.count("*").over(span)).where(F.col("held") >= near)
-        .groupBy("item_id", "key", "shift").agg((F.min("at") - (window - 1)).alias("a"), F.max("at").alias("b"))
-        .join(runs.select("item_id", "key", "shift").distinct(), ["item_id", "key", "shift"], "left_anti")
-    )
-    return exact.unionByName(
-        close.select("key", "item_id", (F.greatest(F.col("a"), F.lit(0)) + F.col("shift")).alias("first_pos"), (F.col("b") + F.col("shift")).alias("last_pos"), F.lit(False).alias("exact"))
+    found = runs.select("key", "item", "shift", "a", "b", F.lit(True).alias("exact"))
+    if near is not None:
+        span = line.rangeBetween(-(window - 1), Window.currentRow)
+        close = (
+            agreed.withColumn("held", F.count("*").over(span)).where(F.col("held") >= near)
+            .groupBy("item", "key", "shift").agg(F.greatest(F.lit(0), F.min("at") - (window - 1)).alias("a"), F.max("at").alias("b"))
+            .join(runs.select("item", "key", "shift").distinct(), ["item", "key", "shift"], "left_anti")
+        )
+        found = found.unionByName(close.select("key", "item", "shift", "a", "b", F.lit(False).alias("exact")))
+    return found.join(names, "item").select(
+        "key", "item_id", (F.col("a") + F.col("shift")).alias("first_pos"), (F.col("b") + F.col("shift")).alias("last_pos"), "exact"
     )
 
 
@@ -108,7 +117,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     """Per document row: doc_id, key, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated.
 
     A word is hit if any occurrence of any window covers it. Null texts and items have no words; an item_id that
-    stands on several rows is one item with all their windows; repeated document rows each get their result; empty
+    stands on several rows is one item with all their windows; an item without id hits words but isn't named; repeated document rows each get their result; empty
     tables give no rows or no hits; further columns are not read.
     """
     found = materialise(phrase_matches(docs, items, window).select("key", "item_id", "first_pos", "last_pos"))
