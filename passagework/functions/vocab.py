@@ -69,31 +69,33 @@ PUNCTUATION_FOLDS = {
 # Words (fixed values)
 # --------------------------------------------------------------------------
 
-URDU_FUNCTION_WORDS = (
-    "کا کی کے میں سے پر ہے ہیں نے کو اور یہ وہ کیا کیوں کہ تھا تھی ہوتا کرنا والے "
-    "والا بارے مطابق تفسیر کون کہاں"
-).split()
+URDU_FUNCTION_WORDS = [
+    "کا", "کی", "کے", "میں", "سے", "پر", "ہے", "ہیں", "نے", "کو", "اور", "یہ", "وہ", "کیا", "کیوں", "کہ", "تھا",
+    "تھی", "ہوتا", "کرنا", "والے", "والا", "بارے", "مطابق", "تفسیر", "کون", "کہاں",
+]
 
-ARABIC_FUNCTION_WORDS = (
-    "في من على عن الى إلى هذا هذه ذلك التي الذي ما هل كيف لماذا متى اين أين قال "
-    "وقال تفسير معنى الاية الآية سورة بين عند"
-).split()
+ARABIC_FUNCTION_WORDS = [
+    "في", "من", "على", "عن", "الى", "إلى", "هذا", "هذه", "ذلك", "التي", "الذي", "ما", "هل", "كيف", "لماذا", "متى",
+    "اين", "أين", "قال", "وقال", "تفسير", "معنى", "الاية", "الآية", "سورة", "بين", "عند",
+]
 
 #: Words that never make a run of canonical words evidence of a treatment.
-CLAUSE_FUNCTION_WORDS = (
-    "ما في من علي الي عن هو هي هم لا الا ان انه اني الذي التي له لها لهم به بها "
-    "عليه عليها ذلك هذا هذه ثم قد كان كانت يكون"
-).split()
+CLAUSE_FUNCTION_WORDS = [
+    "ما", "في", "من", "علي", "الي", "عن", "هو", "هي", "هم", "لا", "الا", "ان", "انه", "اني", "الذي", "التي", "له",
+    "لها", "لهم", "به", "بها", "عليه", "عليها", "ذلك", "هذا", "هذه", "ثم", "قد", "كان", "كانت", "يكون",
+]
 
 #: Words left out when lexical support is measured.
-SUPPORT_STOP_WORDS = (
-    "ما في من علي الي عن هو هي هم لا الا ان انه اني الذي التي وهو وهي له لها لهم "
-    "به بها عليه عليها ذلك هذا هذه ثم قد كان كانت يكون قال وقد وقال ايضا بين عند "
-    "كل اذا حتي لكن او ام بل"
-).split()
+SUPPORT_STOP_WORDS = [
+    "ما", "في", "من", "علي", "الي", "عن", "هو", "هي", "هم", "لا", "الا", "ان", "انه", "اني", "الذي", "التي", "وهو",
+    "وهي", "له", "لها", "لهم", "به", "بها", "عليه", "عليها", "ذلك", "هذا", "هذه", "ثم", "قد", "كان", "كانت", "يكون",
+    "قال", "وقد", "وقال", "ايضا", "بين", "عند", "كل", "اذا", "حتي", "لكن", "او", "ام", "بل",
+]
 
 #: Clitics, in the order they are tried.
-CLITICS = "وال فال بال كال لل ال و ف ب ك ل".split()
+CLITICS = [
+    "وال", "فال", "بال", "كال", "لل", "ال", "و", "ف", "ب", "ك", "ل",
+]
 
 #: Headers that announce a clause under discussion.
 CLAUSE_HEADERS = [
@@ -115,7 +117,9 @@ UNIT_HEADERS = [
     "يقول تعالى ذكره",
 ]
 
-LATIN_ARTICLES = "al an ar as ash at az ad adh ath a".split()
+LATIN_ARTICLES = [
+    "al", "an", "ar", "as", "ash", "at", "az", "ad", "adh", "ath", "a",
+]
 NAME_FILLER_WORDS = ["ال", "من", "في", "عن", "الكريمة", "الكريم", "رقم"]
 
 #: Conventional names of well-known places: names, chapter, first and last verse.

@@ -6,15 +6,17 @@ worker, and yields rows keyed by id, so results never depend on position.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
+from passagework.session import materialise
 
 BatchFunction = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -35,35 +37,34 @@ def infer_pending(
     language), `fresh`, `empty` (nothing came back), `rejected` (degenerate, with
     a reason) or `unavailable`. Only pending rows reach the function.
     """
-    done = stored.filter(F.col("language") == target).select("passage_id").distinct()
-    cached = passages.join(done, "passage_id", "left_semi")
-    pending = passages.join(done, "passage_id", "left_anti")
-    same = pending.filter(F.col("language") == target)
-    foreign = pending.filter(F.col("language") != target).select("passage_id", "language", F.col(text).alias("text"))
+    done = stored.filter(F.col("language") == target).select("passage_id", F.lit(True).alias("_done")).distinct()
+    tagged = passages.select("passage_id", "language", F.col(text).alias("_text")).join(done, "passage_id", "left")
+    known = F.when(F.col("_done"), "cached").when(F.col("language") == target, "passthrough")
 
-    def outcome(df: DataFrame, status: str, body: str | None = None) -> DataFrame:
+    def outcome(df: DataFrame, body: Column, status: Column, reason: Column) -> DataFrame:
         return df.select(
-            "passage_id", F.lit(target).alias("language"),
-            (F.col(body) if body else F.lit(None).cast("string")).alias("text"),
-            F.lit(status).alias("status"), F.lit(None).cast("string").alias("reason"),
+            "passage_id", F.lit(target).alias("language"), body.alias("text"), status.alias("status"), reason.alias("reason")
         )
 
-    kept = outcome(cached, "cached").unionByName(outcome(same, "passthrough", text))
+    nothing = F.lit(None).cast("string")
+    kept = outcome(
+        tagged.filter(known.isNotNull()), F.when(known == "passthrough", F.col("_text")), known, nothing
+    )
+    foreign = tagged.filter(known.isNull() & (F.col("language") != target)).select("passage_id", "language", F.col("_text").alias("text"))
     if available:
         kind = dict(foreign.dtypes)["passage_id"]
-        produced = foreign.mapInPandas(fn, f"passage_id {kind}, text string")
-        judged = T.flag_degenerate(produced.withColumn("text", F.coalesce("text", F.lit(""))), "text")
+        # Written once: the function is called once per pending row, whatever reads its results.
+        produced = materialise(foreign.mapInPandas(fn, f"passage_id {kind}, text string"))
+        # A row the function did not return is empty, not lost.
+        filled = foreign.select("passage_id").join(produced, "passage_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+        judged = T.flag_degenerate(filled, "text")
         status = F.when(T.is_blank("text"), "empty").when(F.col("degenerate"), "rejected").otherwise("fresh")
-        fresh = judged.select(
-            "passage_id", F.lit(target).alias("language"),
-            F.when(status == "fresh", F.col("text")).alias("text"),
-            status.alias("status"), F.col("degenerate_reason").alias("reason"),
+        fresh = outcome(
+            judged, F.when(status == "fresh", F.col("text")), status, F.when(status != "empty", F.col("degenerate_reason"))
         )
-        # A row the function did not return is empty, not lost.
-        silent = foreign.join(fresh.select("passage_id"), "passage_id", "left_anti")
-        kept = kept.unionByName(fresh).unionByName(outcome(silent, "empty"))
+        kept = kept.unionByName(fresh)
     else:
-        kept = kept.unionByName(outcome(foreign, "unavailable"))
+        kept = kept.unionByName(outcome(foreign, nothing, F.lit("unavailable"), nothing))
     return kept.withColumns(
         {
             "translator_kind": F.when(F.col("status") == "fresh", "MACHINE"),
@@ -107,14 +108,16 @@ def upper_case_translator(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
 
 
 def hashing_embedder(dims: int) -> BatchFunction:
-    """Unit vectors of hashed word counts."""
+    """Unit vectors of word counts, words dealt to places by the first 32 bits of their md5."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             vectors = np.zeros((len(b), dims), dtype=np.float32)
             for row, text in enumerate(b["text"]):
-                for word in text.split():
-                    vectors[row, zlib.crc32(word.encode()) % dims] += 1
+                for word in re.split(r"[ \t\n\x0b\x0c\r]+", text):
+                    if not word:
+                        continue
+                    vectors[row, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims] += 1
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             vectors /= np.where(norms == 0, 1, norms)
             yield pd.DataFrame({"passage_id": b["passage_id"], "embedding": list(vectors)})

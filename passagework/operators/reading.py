@@ -33,6 +33,15 @@ def reading_notes(
     ).withColumn("basis", F.coalesce("basis", F.lit("UNALIGNED")))
 
 
+def note_counts(notes: DataFrame) -> DataFrame:
+    """Notes available per (verse, clause, work) and whether one opens a discussion; clause -1 holds the unaligned."""
+    return (
+        notes.withColumn("_clause", F.coalesce("clause_index", F.lit(-1)))
+        .groupBy(*VERSE, "_clause", "work_slug")
+        .agg(F.count("*").alias("available"), F.bool_or(F.coalesce("opens_discussion", F.lit(False))).alias("_has_opening"))
+    )
+
+
 def capped_notes(notes: DataFrame, per_work: int = NOTES_PER_WORK) -> DataFrame:
     """At most `per_work` notes per (clause, work), openings first.
 
@@ -44,9 +53,7 @@ def capped_notes(notes: DataFrame, per_work: int = NOTES_PER_WORK) -> DataFrame:
     group = [*VERSE, "_clause", "work_slug"]
     keyed = notes.withColumn("_clause", F.coalesce("clause_index", F.lit(-1)))
     opening = F.coalesce("opens_discussion", F.lit(False))
-    facts = keyed.groupBy(*group).agg(
-        F.count("*").alias("available"), F.bool_or(opening).alias("_has_opening")
-    )
+    facts = note_counts(notes)
     kept = top_by(
         keyed, group,
         [F.when(opening, 0).otherwise(1), "sequence_index", "passage_id"],

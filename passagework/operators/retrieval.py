@@ -127,7 +127,7 @@ def postings(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame
     """term, passage_id, tf. A vocabulary (column `term`) limits the terms kept."""
     terms = T.unnest(index, ["passage_id"], "tokens", "term")
     if vocabulary is not None:
-        terms = terms.join(bounded(vocabulary.select("term").distinct(), 200_000), "term", "left_semi")
+        terms = terms.join(bounded(vocabulary.select("term").distinct(), 50_000), "term", "left_semi")
     return terms.groupBy("passage_id", "term").agg(F.count("*").alias("tf"))
 
 
@@ -530,12 +530,19 @@ def contained_terms(
 ) -> DataFrame:
     """Pairs where `term` occurs inside `text`, as an equi-join on leading grams.
 
-    Terms must hold at least `gram` characters. A text meets a term only if it
-    holds the term's first gram, so no pair without it is ever formed.
+    A text meets a term only if it holds the term's first gram, so no pair without it
+    is ever formed. Terms shorter than `gram` are their own gram. Only the distinct
+    grams of a text travel to the join; the text joins the pairs found, once each.
+    The first column of `texts` identifies a row; an empty term is found nowhere.
     """
-    probes = T.unnest(texts, texts.columns, _grams(F.col(text), gram), "_gram")
-    keyed = terms.filter(F.length(term) >= gram).withColumn("_gram", F.substring(term, 1, gram))
-    return probes.join(keyed, "_gram").filter(F.contains(F.col(text), F.col(term))).drop("_gram")
+    key = texts.columns[0]
+    shapes = terms.filter(F.length(term) > 0).withColumn("_gram", F.substring(term, 1, gram))
+    every = F.array_distinct(F.concat(*[_grams(F.col(text), n) for n in range(1, gram + 1)]))
+    # A gram of fewer characters only matters where a term is that short.
+    wanted = shapes.select("_gram").distinct()
+    grams = T.unnest(texts, [key], every, "_gram").join(wanted, "_gram", "left_semi")
+    pairs = grams.join(shapes, "_gram").drop("_gram")
+    return pairs.join(texts, key).filter(F.contains(F.col(text), F.col(term))).select(*texts.columns, *terms.columns)
 
 
 def trigram_matches(

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from passagework.functions import text as T
 
 
-def bounded(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
-    """A local copy of a table proven to hold at most `max_rows` rows.
+def bounded(df: DataFrame, max_rows: int = 20_000, max_bytes: int = 8 << 20) -> DataFrame:
+    """A local copy of a table proven to hold at most `max_rows` rows and about `max_bytes`.
 
-    The check reads one row more than the bound. Within it, the result is a local
+    The check reads one row more than the bound. Within both bounds, the result is a local
     relation whose exact size the optimizer knows, so joins against it broadcast
-    by themselves; beyond it, the table comes back as it was and joins shuffle.
+    by themselves; beyond them, the table comes back as it was and joins shuffle.
     """
     rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    if len(rows) > max_rows or sum(len(str(v)) for r in rows for v in r) > max_bytes:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)
 
@@ -167,16 +167,14 @@ def write_once_ocr(pages: DataFrame, readings: DataFrame) -> DataFrame:
 
 
 def pending_translation(
-    published: DataFrame, translations: DataFrame, target: str, limit: int = 100_000
+    published: DataFrame, translations: DataFrame, target: str, limit: int | None = None
 ) -> DataFrame:
-    """Published passages not yet in `target`, in work and reading order."""
+    """Published passages not yet in `target`; with a `limit`, the first of them in work and reading order."""
     done = translations.filter(F.col("language") == target).select("passage_id")
-    return (
-        published.filter(F.col("language") != target)
-        .join(done, "passage_id", "left_anti")
-        .orderBy("work_slug", "sequence_index", "passage_id")
-        .limit(limit)
-    )
+    pending = published.filter(F.col("language") != target).join(done, "passage_id", "left_anti")
+    if limit is None:
+        return pending
+    return pending.orderBy("work_slug", "sequence_index", "passage_id").limit(limit)
 
 
 def pending_ocr(

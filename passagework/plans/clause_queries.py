@@ -243,10 +243,7 @@ def g2(c):
         FROM v_note GROUP BY chapter, verse, clause_index, work_slug"""),
 )
 def g3(c):
-    return (
-        notes_of(c)[1].withColumn("clause_index", F.coalesce("clause_index", F.lit(-1)))
-        .groupBy("chapter", "verse", "clause_index", "work_slug").agg(F.count("*").alias("available"))
-    )
+    return N.note_counts(notes_of(c)[1]).withColumnRenamed("_clause", "clause_index").drop("_has_opening")
 
 
 @query(

@@ -16,7 +16,8 @@ from passagework.plans import sql_text as S
 from passagework.plans.driver_views import with_views
 from passagework.plans.registry import query
 from passagework.plans.retrieval_queries import _RULES, chapters, driver_rules
-from passagework.plans.text_queries import degenerate_views
+from passagework.plans.text_queries import chunk_views, degenerate_views
+from passagework.session import materialise
 from passagework.sources import commentary as X
 
 # --------------------------------------------------------------------------
@@ -36,6 +37,17 @@ def entries(c):
     )
 
 
+#: The chunks of the valid entries, numbered per work.
+_INGEST = (
+    ("v_entry", _ENTRIES),
+    ("v_valid", f"SELECT entry_id AS doc_id, work_slug, chapter, verse, text FROM v_entry WHERE {S.strip('text')} <> '' AND chapter BETWEEN 1 AND 5 AND verse BETWEEN 1 AND 8"),
+    *chunk_views("v_valid"),
+    ("v_numbered", """SELECT e.work_slug, e.chapter, e.verse, CAST(length(k.raw_text) AS INT) AS char_count,
+        row_number() OVER (PARTITION BY e.work_slug ORDER BY e.chapter, e.verse, e.doc_id, k.chunk_index) - 1 AS sequence_index
+        FROM v_chunk k JOIN v_valid e ON e.doc_id = k.doc_id"""),
+)
+
+
 def small_chapters(c):
     return A.bounded(chapters(c).select("number", "verse_count"))
 
@@ -58,17 +70,25 @@ def a3(c):
     "a4_ingest_report",
     with_views(
         f"""SELECT work_slug, count(*) FILTER (WHERE ok) AS verses_covered, count(DISTINCT chapter * 100 + verse) FILTER (WHERE ok) AS distinct_verses,
-          count(*) FILTER (WHERE {S.strip('text')} = '') AS skipped_empty
-        FROM (SELECT *, {S.strip('text')} <> '' AND chapter BETWEEN 1 AND 5 AND verse BETWEEN 1 AND 8 AS ok FROM v_entry) GROUP BY work_slug""",
-        ("v_entry", _ENTRIES),
+          count(*) FILTER (WHERE {S.strip('text')} = '') AS skipped_empty,
+          (SELECT count(*) FROM v_numbered n WHERE n.work_slug = e.work_slug) AS passages_written
+        FROM (SELECT *, {S.strip('text')} <> '' AND chapter BETWEEN 1 AND 5 AND verse BETWEEN 1 AND 8 AS ok FROM v_entry) e GROUP BY work_slug""",
+        *_INGEST,
     ),
 )
 def a4(c):
     report = X.ingest(entries(c), small_chapters(c))[2]
-    return report.select("work_slug", "verses_covered", "distinct_verses", "skipped_empty")
+    return report.select("work_slug", "verses_covered", "distinct_verses", "skipped_empty", "passages_written")
 
 
-@query("a4_ingest_passages")
+@query(
+    "a4_ingest_passages",
+    with_views(
+        """SELECT sha256(work_slug || '|' || sequence_index) AS passage_id, work_slug, sequence_index, chapter, verse, char_count
+        FROM v_numbered""",
+        *_INGEST,
+    ),
+)
 def a4_passages(c):
     return X.ingest(entries(c), small_chapters(c))[0].select(
         "passage_id", "work_slug", "sequence_index", "chapter", "verse", "char_count"
@@ -81,8 +101,7 @@ def a4_passages(c):
 )
 def a5(c):
     d = c.table("documents").select(F.col("doc_id").alias("passage_id"), F.col("source").alias("work_slug"))
-    # A narrow bucket, so that the offsets are at work even on small tables.
-    return A.number_within(d, ["work_slug"], ["passage_id"], A.id_bucket("passage_id", 64)).select(
+    return A.number_within(d, ["work_slug"], ["passage_id"], A.id_bucket("passage_id")).select(
         "passage_id", "work_slug", "sequence_index"
     )
 
@@ -222,13 +241,13 @@ def i1(c):
 )
 def i1_suppliers(c):
     works = c.table("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("work_slug"))
-    lines = c.table("lineitem").select(
-        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("work_slug"), F.col("l_partkey").alias("verse_start")
-    )
-    counted = lines.groupBy("work_slug").agg(
-        F.count("*").alias("passage_count"), F.countDistinct("verse_start").alias("verse_count")
-    )
-    return works.join(counted, "work_slug", "left").na.fill(0)
+    # Line items have no key of their own, so they are numbered in a written copy.
+    lines = materialise(c.table("lineitem").select(
+        F.monotonically_increasing_id().alias("passage_id"),
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("work_slug"),
+        F.lit(1).alias("chapter"), F.col("l_partkey").alias("verse_start"),
+    ))
+    return P.work_stats(works, lines.select("passage_id", "work_slug"), lines.select("passage_id", "chapter", "verse_start"))
 
 
 @query(
@@ -672,8 +691,25 @@ def k1(c):
     return out.select("passage_id", "status", F.md5("text").alias("text_hash"))
 
 
-@query("k2_embed_passages")
+@query(
+    "k2_embed_passages",
+    with_views(
+        f"""SELECT passage_id, array_to_string(list_transform(range(16), lambda i: coalesce(map_extract_value(n, i), 0) || '/' || total), ' ') AS vector
+        FROM (SELECT passage_id, map_from_entries(list((place, k))) AS n, CAST(sum(k * k) AS BIGINT) AS total FROM (
+          SELECT passage_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 16 AS place, count(*) AS k FROM (
+            SELECT passage_id, unnest(list_filter(regexp_split_to_array(raw_text, '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '')) AS word FROM v_published)
+          GROUP BY passage_id, place) GROUP BY passage_id)"""
+    ),
+)
 def k2(c):
-    return K.embed_pending(
+    # Squared lengths are whole numbers, so a unit vector tells the counts it came from exactly.
+    vectors = K.embed_pending(
         c.published.withColumn("embedding", F.lit(None).cast("array<float>")), K.hashing_embedder(16), text="raw_text"
-    ).select("passage_id", F.size("embedding").alias("dims"))
+    )
+    words = F.filter(F.split("raw_text", "[ \\t\\n\\x0b\\x0c\\r]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % 16)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("long"))
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, k: s + k * k)
+    asked = c.published.select("passage_id", total.alias("total")).filter("total > 0")
+    whole = F.transform("embedding", lambda v: F.concat(F.round(v * F.sqrt("total")).cast("long").cast("string"), F.lit("/"), F.col("total").cast("string")))
+    return vectors.join(asked, "passage_id").select("passage_id", F.array_join(whole, " ").alias("vector"))

@@ -140,15 +140,19 @@ def d2(c):
     "d3_label_references",
     with_views("""
     SELECT query_id, string_agg(label, ', ' ORDER BY ord) AS labels FROM (
-      SELECT CAST(a.passage_id AS BIGINT) % 1000 AS query_id, a.passage_id AS ord, replace(g.r_name, ' ', '') || ' ' ||
+      SELECT a.query_id, a.ord, replace(g.r_name, ' ', '') || ' ' ||
         a.chapter || ':' || a.verse_start || CASE WHEN a.verse_end <> a.verse_start THEN '-' || a.verse_end ELSE '' END AS label
-      FROM v_passage_verse a JOIN region g ON g.r_regionkey + 1 = a.chapter) GROUP BY query_id"""),
+      FROM (SELECT query_id, 0 AS ord, chapter, verse_start, verse_end FROM v_query_ref
+        UNION ALL SELECT query_id, 1, chapter % 5 + 1, verse_end, verse_end FROM v_query_ref WHERE query_id % 2 = 0) a
+      JOIN region g ON g.r_regionkey + 1 = a.chapter) GROUP BY query_id"""),
 )
 def d3(c):
-    refs = c.alignments.select(
-        (F.col("passage_id") % 1000).alias("query_id"), F.col("passage_id").alias("ord"),
-        "chapter", "verse_start", "verse_end",
+    first = c.query_refs.select("query_id", F.lit(0).alias("ord"), "chapter", "verse_start", "verse_end")
+    second = c.query_refs.filter("query_id % 2 = 0").select(
+        "query_id", F.lit(1).alias("ord"), (F.col("chapter") % 5 + 1).alias("chapter"),
+        F.col("verse_end").alias("verse_start"), "verse_end",
     )
+    refs = first.unionByName(second)
     return R.label_references(refs, bounded(chapters(c)))
 
 
@@ -235,26 +239,31 @@ def d5(c):
         """SELECT query_id, array_to_string(list_sort(list(DISTINCT work_slug)), ',') AS works FROM (
           SELECT q.query_id, t.work_slug FROM v_query q JOIN v_short t ON contains(lower(q.text), t.term)) GROUP BY query_id""",
         ("v_short", """SELECT term, min(work_slug) AS work_slug FROM (
-            SELECT substr(lower(p_name), 1, 4) AS term, 'p' || p_partkey AS work_slug FROM part
+            SELECT lower(p_name) AS term, 'p' || p_partkey AS work_slug FROM part
             UNION ALL SELECT lower(n_name), 'n' || n_nationkey FROM nation
-            UNION ALL SELECT left(lower(regexp_extract(text, '[A-Za-z]+')), 6), 'i' || item_id FROM benchmark)
-            WHERE length(term) >= 4 GROUP BY term"""),
+            UNION ALL SELECT lower(regexp_extract(text, '[A-Za-z]+')), 'i' || item_id FROM benchmark
+            UNION ALL SELECT lower(regexp_extract(text, '[^ ]+ [^ ]+$')), 'e' || item_id FROM benchmark)
+            WHERE term <> '' GROUP BY term"""),
     ),
 )
 def d6(c):
     part = c.table("part").select(
-        F.lower(F.substring("p_name", 1, 4)).alias("term"),
+        F.lower("p_name").alias("term"),
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("work_slug"),
     )
     nation = c.table("nation").select(
         F.lower("n_name").alias("term"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("work_slug")
     )
     item = c.table("benchmark").select(
-        F.lower(F.substring(F.regexp_extract("text", "[A-Za-z]+", 0), 1, 6)).alias("term"),
+        F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("term"),
         F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("work_slug"),
     )
+    ending = c.table("benchmark").select(
+        F.lower(F.regexp_extract("text", "[^ ]+ [^ ]+$", 0)).alias("term"),
+        F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("work_slug"),
+    )
     terms = (
-        part.unionByName(nation).unionByName(item).filter(F.length("term") >= 4)
+        part.unionByName(nation).unionByName(item).unionByName(ending).filter("term <> ''")
         .groupBy("term").agg(F.min("work_slug").alias("work_slug"))
     )
     return U.named_works(c.queries, terms).select("query_id", F.array_join("works", ",").alias("works"))

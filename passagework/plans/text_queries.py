@@ -106,11 +106,32 @@ def b6(c):
 
 
 # Backreferences are beyond the oracle's regex engine: rows only.
-@query("b7_latin_keys")
+def _folded(name: str) -> str:
+    """Runs of one letter as one, and no closing h."""
+    return f"""regexp_replace(array_to_string(list_transform(range(length({name})), lambda i: CASE WHEN i > 0 AND
+        substr({name}, i + 1, 1) = substr({name}, i, 1) THEN '' ELSE substr({name}, i + 1, 1) END), ''), 'h$', '')"""
+
+
+_ARTICLES = "|".join(V.LATIN_ARTICLES)
+
+
+@query(
+    "b7_latin_keys",
+    f"""SELECT c_custkey, {_folded("bare")} AS latin_key, {_folded("whole")} AS latin_key_with_article FROM (
+      SELECT c_custkey, whole, replace(CASE WHEN regexp_matches(joined, '^({_ARTICLES}) .') THEN regexp_replace(joined, '^({_ARTICLES}) ', '') ELSE joined END, ' ', '') AS bare
+      FROM (SELECT c_custkey, regexp_replace(lower(name), '[^a-z]', '', 'g') AS whole,
+          array_to_string(list_filter(list_transform(regexp_split_to_array(lower(name), '[ _-]+'), lambda w: regexp_replace(w, '[^a-z]', '', 'g')), lambda w: w <> ''), ' ') AS joined
+        FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'al-' || c_mktsegment || 'h' WHEN 1 THEN 'Ash ' || c_name ELSE c_name END AS name FROM customer) n) x) y""",
+)
 def b7(c):
-    return c.table("customer").select(
-        "c_custkey", T.latin_key("c_name").alias("latin_key"),
-        T.latin_key_with_article("c_name").alias("latin_key_with_article"),
+    k = F.col("c_custkey")
+    name = (
+        F.when(k % 3 == 0, F.concat(F.lit("al-"), "c_mktsegment", F.lit("h")))
+        .when(k % 3 == 1, F.concat(F.lit("Ash "), "c_name")).otherwise(F.col("c_name"))
+    )
+    named = c.table("customer").select("c_custkey", name.alias("name"))
+    return named.select(
+        "c_custkey", T.latin_key("name").alias("latin_key"), T.latin_key_with_article("name").alias("latin_key_with_article")
     )
 
 
@@ -258,23 +279,32 @@ def _packed(list_sql: str, limit: int, joiner: str) -> str:
     )
 
 
-@query(
-    "c1_chunk_documents",
-    with_views(
-        f"""
-    SELECT doc_id, CAST(i AS INT) AS chunk_index, chunk AS raw_text, {S.matching('chunk')} AS matching,
-      {S.display('chunk')} AS display, CAST(length(chunk) AS INT) AS char_count
-    FROM (SELECT doc_id, unnest(folded) AS chunk, unnest(range(len(folded))) AS i FROM (
-      SELECT doc_id, CASE WHEN len(chunks) > 1 AND length(chunks[len(chunks)]) < 120
-        THEN list_concat(chunks[1:len(chunks) - 2], [chunks[len(chunks) - 1] || chr(10) || chr(10) || chunks[len(chunks)]])
-        ELSE chunks END AS folded FROM v_chunks))""",
-        # Driver text has no blank lines and no headers: a document is one unit.
-        ("v_unit", f"SELECT doc_id, {S.strip('text')} AS unit FROM documents"),
+def chunk_views(texts: str) -> tuple[tuple[str, str], ...]:
+    """Oracle views over `texts` (doc_id, text): v_chunk(doc_id, chunk_index, raw_text).
+
+    Driver text has no blank lines and no headers: a document is one unit.
+    """
+    return (
+        ("v_unit", f"SELECT doc_id, {S.strip('text')} AS unit FROM {texts}"),
         ("v_pieces", f"""SELECT doc_id, CASE WHEN length(unit) <= 2200 THEN [unit] ELSE
             {_packed(f"list_filter(string_split(regexp_replace(unit, '([.؟!۔])[{S.WS}]+', chr(92) || '1' || chr(2), 'g'), chr(2)), lambda s: {S.strip('s')} <> '')", 1200, ' ')}
             END AS pieces FROM v_unit WHERE unit <> ''"""),
         ("v_chunks", f"""SELECT doc_id, {_packed(f"list_transform(pieces, lambda p: {S.strip('p')})", 1200, chr(10) * 2)} AS chunks
             FROM v_pieces"""),
+        ("v_chunk", """SELECT doc_id, i AS chunk_index, chunk AS raw_text FROM (
+          SELECT doc_id, unnest(folded) AS chunk, unnest(range(len(folded))) AS i FROM (
+            SELECT doc_id, CASE WHEN len(chunks) > 1 AND length(chunks[len(chunks)]) < 120
+              THEN list_concat(chunks[1:len(chunks) - 2], [chunks[len(chunks) - 1] || chr(10) || chr(10) || chunks[len(chunks)]])
+              ELSE chunks END AS folded FROM v_chunks))"""),
+    )
+
+
+@query(
+    "c1_chunk_documents",
+    with_views(
+        f"""SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, raw_text, {S.matching('raw_text')} AS matching,
+          {S.display('raw_text')} AS display, CAST(length(raw_text) AS INT) AS char_count FROM v_chunk""",
+        *chunk_views("documents"),
     ),
 )
 def c1(c):

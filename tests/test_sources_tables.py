@@ -6,7 +6,7 @@ from passagework.operators import inference as K
 from passagework.operators import quality as J
 from passagework.operators import tables as A
 from passagework.sources import commentary as X
-from passagework.streaming.ingest import ingest_stream
+from passagework.streaming.ingest import ingest_report, ingest_stream, ingested_passages
 
 
 def put(path, text):
@@ -36,12 +36,19 @@ def test_chapter_files_and_stream(spark, tmp_path):
     def run():
         q = ingest_stream(spark, str(src), chapters, out, state)
         q.awaitTermination()
-        return {(r.work_slug, r.chapter, r.verse, r.raw_text) for r in spark.read.parquet(out).collect()}
+        return {(r.work_slug, r.chapter, r.verse, r.raw_text) for r in ingested_passages(spark, out).collect()}
 
     assert run() == {("w1", 1, 1, "one")}
     put(src / "w1/3.json", "[]")
     put(src / "w2/2.json", json.dumps([{"ayah": 5, "text": "two"}]))
     assert run() == {("w1", 1, 1, "one"), ("w2", 2, 5, "two")}
+    # A second file of one work and chapter adds to the first; a file that has become blank goes.
+    put(src / "more/w1/1.json", json.dumps([{"ayah": 2, "text": "three"}]))
+    assert run() == {("w1", 1, 1, "one"), ("w1", 1, 2, "three"), ("w2", 2, 5, "two")}
+    assert [r.sequence_index for r in ingested_passages(spark, out).filter("work_slug = 'w1'").orderBy("verse").collect()] == [0, 1]
+    assert spark.read.parquet(out + "/alignments").count() == 3
+    report = {r.work_slug: (r.files, r.kept, r.skipped_blank, r.skipped_place, r.passages_written) for r in ingest_report(spark, out).collect()}
+    assert report == {"w1": (2, 2, 1, 1, 2), "w2": (2, 1, 0, 0, 1)}
 
 
 def test_chapter_list(spark, tmp_path):
@@ -153,3 +160,34 @@ def test_ingest_numbers_and_ids_repeat(spark):
     assert {(r.verse_start, r.confidence) for r in places.collect()} == {(1, 0.99), (2, 0.99)}
     [r] = report.collect()
     assert (r.passages_written, r.verses_covered, r.distinct_verses, r.skipped_empty) == (3, 2, 2, 1)
+
+
+def test_model_is_called_once_per_row(spark, tmp_path):
+    from passagework.operators.inference import infer_pending
+
+    folder = str(tmp_path)
+
+    def counting(batches):
+        import uuid
+
+        for b in batches:
+            for i in b["passage_id"]:
+                open(f"{folder}/{i}-{uuid.uuid4().hex}", "w").close()
+            yield b[["passage_id"]].assign(text=b["text"].str.upper())[b["passage_id"] != 4]
+
+    rows = [(1, "en", "a b"), (2, "de", "c d"), (3, "de", "e f"), (4, "fr", "g h")]
+    passages = spark.createDataFrame(rows, "passage_id long, language string, raw_text string")
+    stored = spark.createDataFrame([(3, "en")], "passage_id long, language string")
+    out = infer_pending(passages, stored, counting, target="en", translator="t")
+    assert "mapInPandas" not in out._jdf.queryExecution().toString()
+    got = {r.passage_id: (r.status, r.text) for r in out.collect()}
+    assert got == {1: ("passthrough", "a b"), 2: ("fresh", "C D"), 3: ("cached", None), 4: ("empty", None)}
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["2", "4"]
+
+
+def test_contained_terms_keeps_short_terms(spark):
+    from passagework.operators.retrieval import contained_terms
+
+    texts = spark.createDataFrame([(1, "abcdef"), (2, "xyz"), (3, ""), (4, None)], "id long, body string")
+    terms = spark.createDataFrame([("a", "s"), ("cd", "t"), ("bcdef", "u"), ("", "v"), ("yz", "w")], "term string, slug string")
+    assert {(r.id, r.slug) for r in contained_terms(texts, "body", terms, "term").collect()} == {(1, "s"), (1, "t"), (1, "u"), (2, "w")}
