@@ -252,10 +252,28 @@ class DriverCorpus:
             .otherwise(F.col("text")).alias("text"),
         )
 
-    def word_queries(self, sizes: tuple[int, int], joiner: str) -> DataFrame:
-        """Search text of each user turn: its distinct words of the given sizes."""
-        low, high = sizes
-        found = F.filter(
-            F.array_distinct(search_tokens("text")), lambda w: F.length(w).between(low, high)
+    def any_word_queries(self) -> DataFrame:
+        """Search text of each user turn: any of its words."""
+        return self.queries.select("query_id", F.array_join(turn_words(), " OR ").alias("text"))
+
+    def turn_queries(self) -> DataFrame:
+        """Search text of each user turn, all its words in it.
+
+        Most ask for any word. Every eighth asks for its first two words as a phrase, every eighth for the
+        first without the second, every eighth for both, or else for all the rest.
+        """
+        w, q = turn_words(), F.col("query_id") % 8
+        first, second = F.element_at(w, 1), F.element_at(w, 2)
+        rest = F.concat(F.lit(" OR "), F.array_join(F.slice(w, 3, 1_000_000), " "))
+        text = (
+            F.when((F.size(w) < 3) | ~q.isin(1, 3, 5), F.array_join(w, " OR "))
+            .when(q == 1, F.concat(F.lit('"'), first, F.lit(" "), second, F.lit('"'), rest))
+            .when(q == 3, F.concat(first, F.lit(" -"), second, rest))
+            .otherwise(F.concat(first, F.lit(" "), second, rest))
         )
-        return self.queries.select("query_id", F.array_join(F.array_sort(found), joiner).alias("text"))
+        return self.queries.select("query_id", text.alias("text"))
+
+
+def turn_words():
+    """Distinct words of a turn in order; the operator word is none of them."""
+    return F.array_distinct(F.filter(search_tokens("text"), lambda w: w != "or"))

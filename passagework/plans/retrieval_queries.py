@@ -13,6 +13,7 @@ from passagework.operators.tables import bounded
 from passagework.plans import sql_text as S
 from passagework.plans.driver_views import with_views
 from passagework.plans.registry import query
+from passagework.session import materialise
 
 # --------------------------------------------------------------------------
 # Shared oracle views
@@ -39,25 +40,36 @@ BM25 = """sum(ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * p.tf * 2.2
       / (p.tf + 1.2 * (0.25 + 0.75 * len(d.tokens) / s.avg_len)))"""
 
 
-def word_query(low: int, high: int) -> tuple[str, str]:
-    return (
-        "v_wanted",
-        f"""SELECT query_id, unnest(list_distinct(list_filter({S.tokens('text')},
-            lambda w: length(w) BETWEEN {low} AND {high}))) AS term FROM v_query""",
-    )
+#: The words of each turn, and how the turn asks for them (see DriverCorpus.turn_queries).
+_TURN_WORDS = (
+    "v_turn_words",
+    f"""SELECT query_id, w, CASE WHEN len(w) >= 3 AND query_id % 8 IN (1, 3, 5) THEN query_id % 8 ELSE 0 END AS form FROM (
+      SELECT query_id, list_filter(t, lambda x, i: x <> 'or' AND list_position(t, x) = i) AS w FROM (
+        SELECT query_id, {S.tokens('text')} AS t FROM v_query) a) b""",
+)
+ANY_WORD = (_TURN_WORDS, ("v_wanted", "SELECT query_id, unnest(w) AS term FROM v_turn_words"))
+TURN_SEARCH = (
+    _TURN_WORDS,
+    ("v_wanted", "SELECT query_id, unnest(CASE WHEN form = 3 THEN list_concat(w[1:1], w[3:]) ELSE w END) AS term FROM v_turn_words"),
+    ("v_strict", """SELECT q.query_id, d.passage_id FROM v_turn_words q, v_tok d WHERE form > 0 AND (
+        list_has_all(d.tokens, w[3:]) OR CASE form
+          WHEN 1 THEN contains(' ' || array_to_string(d.tokens, ' ') || ' ', ' ' || w[1] || ' ' || w[2] || ' ')
+          WHEN 3 THEN list_contains(d.tokens, w[1]) AND NOT list_contains(d.tokens, w[2])
+          ELSE list_contains(d.tokens, w[1]) AND list_contains(d.tokens, w[2]) END)"""),
+)
+STRICT = """WHERE (SELECT form FROM v_turn_words t WHERE t.query_id = w.query_id) = 0
+          OR EXISTS (SELECT 1 FROM v_strict t WHERE t.query_id = w.query_id AND t.passage_id = p.passage_id)"""
 
 
-def sparse_sql(having: str, where: str = "", limit: int = 100) -> str:
+def sparse_sql(where: str = "", limit: int = 100) -> str:
     return f"""
     SELECT query_id, passage_id, work_slug, score, CAST(rnk AS INT) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rnk FROM (
         SELECT w.query_id, p.passage_id, d.work_slug, round({BM25}, 6) AS score
         FROM v_wanted w JOIN v_df f ON f.term = w.term JOIN v_tf p ON p.term = w.term
         JOIN v_tok d ON d.passage_id = p.passage_id, v_stats s {where}
-        GROUP BY w.query_id, p.passage_id, d.work_slug {having}) x) y WHERE rnk <= {limit}"""
-
+        GROUP BY w.query_id, p.passage_id, d.work_slug) x) y WHERE rnk <= {limit}"""
 
-ALL_TERMS = "HAVING count(*) = (SELECT count(*) FROM v_wanted v WHERE v.query_id = w.query_id)"
 
 # --------------------------------------------------------------------------
 # References
@@ -456,14 +468,15 @@ def d11(c):
     return structural(c)
 
 
-@query("d12_sparse_search", with_views(sparse_sql(ALL_TERMS), *TOKEN_VIEWS, word_query(5, 5)))
+@query("d12_sparse_search", with_views(sparse_sql(STRICT), *TOKEN_VIEWS, *TURN_SEARCH))
 def d12(c):
-    return Q.sparse_search(c.word_queries((5, 5), " "), passage_index(c))
+    return Q.sparse_search(c.turn_queries(), passage_index(c))
 
 
-@query("d13_bm25_any_word", with_views(sparse_sql("", limit=20), *TOKEN_VIEWS, word_query(8, 40)))
+@query("d13_bm25_any_word", with_views(sparse_sql(limit=20), *TOKEN_VIEWS, *ANY_WORD))
 def d13(c):
-    return Q.sparse_search(c.word_queries((8, 40), " OR "), passage_index(c), limit=20)
+    index = passage_index(c)
+    return Q.sparse_search(c.any_word_queries(), index, limit=20, posts=Q.build_postings(index))
 
 
 _COSINE = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6)"
@@ -498,7 +511,7 @@ _DENSE = f"""
     WHERE rnk <= 100"""
 _DENSE_ARM = "UNION ALL SELECT query_id, passage_id, rank, 'dense', 1.0 FROM v_dense"
 FUSION_VIEWS = (
-    *TOKEN_VIEWS, word_query(5, 5), ("v_structural", STRUCTURAL), ("v_sparse", sparse_sql(ALL_TERMS)),
+    *TOKEN_VIEWS, *TURN_SEARCH, ("v_structural", STRUCTURAL), ("v_sparse", sparse_sql(STRICT)),
     ("v_dense", _DENSE), ("v_fused", _FUSE.format(dense="")), ("v_fused3", _FUSE.format(dense=_DENSE_ARM)),
 )
 
@@ -519,7 +532,7 @@ def spread_sql(fused: str, per_work: int, limit: int) -> str:
 def two_lists(c):
     return {
         "structural": structural(c),
-        "sparse": Q.sparse_search(c.word_queries((5, 5), " "), passage_index(c)),
+        "sparse": materialise(Q.sparse_search(c.turn_queries(), passage_index(c))),
     }
 
 
@@ -585,11 +598,10 @@ _WORK_FILTER = "list_contains(['src' || (w.query_id % 20), 'src' || (w.query_id
     "d18_filtered_search",
     with_views(
         sparse_sql(
-            "",
             f"""WHERE {_WORK_FILTER} AND EXISTS (SELECT 1 FROM v_query_ref r JOIN v_passage_verse a ON {OVERLAP}
             WHERE r.query_id = w.query_id AND a.passage_id = p.passage_id)""",
         ),
-        *TOKEN_VIEWS, word_query(8, 40),
+        *TOKEN_VIEWS, *ANY_WORD,
     ),
 )
 def d18(c):
@@ -599,7 +611,7 @@ def d18(c):
         F.array(*[F.concat(F.lit("src"), (q % m).cast("string")) for m in (20, 7)]).alias("works"),
     )
     return Q.sparse_search(
-        c.word_queries((8, 40), " OR "), passage_index(c),
+        c.any_word_queries(), passage_index(c),
         query_refs=c.query_refs, alignments=c.alignments, query_works=works,
     )
 

@@ -54,12 +54,12 @@ def _local_folder() -> str:
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def materialise(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write `df` to the shared folder, in folders of `partition_by`, and read it back.
 
     Used where several branches of a job need the same costly table: it is
     computed once, survives lost executors, and each branch reads only its columns.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
