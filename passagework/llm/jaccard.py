@@ -166,7 +166,8 @@ def verified(docs: DataFrame, members: DataFrame, length: int, threshold: float)
             sets = shingle_sets(b.column("text").to_pylist(), length)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], ["id", "shingles"])
 
-    texts = docs.where("doc_id is not null").select(row_key(docs).alias("row"), "text").join(members.select("row", "id"), "row")
+    # The members grow with the corpus, so they are shuffled at every size and never broadcast.
+    texts = docs.where("doc_id is not null").select(row_key(docs).alias("row"), "text").join(members.select("row", "id").hint("merge"), "row")
     sets = texts.select("id", "text").mapInArrow(cut, "id long, shingles binary")
     dealt = block_pairs(narrow, ["component"], "n").join(sets, "id")
 
