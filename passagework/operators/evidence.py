@@ -270,14 +270,44 @@ def log_rules(runs: DataFrame, applicable: DataFrame, stage: str = "retrieval")
     )
 
 
-def append_log(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append rows whose key is not in the log yet."""
+def untranslated_for_readers(results: DataFrame, translations: DataFrame, readers: DataFrame) -> DataFrame:
+    """query_id, passage_id of results that a query's reader (query_id, language) can't read yet."""
+    wanted = readers.select("query_id", F.col("language").alias("_wanted"))
+    done = translations.select("passage_id", F.col("language").alias("_wanted")).distinct()
+    foreign = results.select("query_id", "passage_id", "language").join(wanted, "query_id").filter(F.col("language") != F.col("_wanted"))
+    return foreign.join(done, ["passage_id", "_wanted"], "left_anti").select("query_id", "passage_id")
+
+
+def run_rows(understood: DataFrame, packages: DataFrame) -> DataFrame:
+    """One audit row per query: what was asked, how it was understood and how much evidence came back."""
+    refs = F.transform(
+        "refs",
+        lambda r: F.concat(
+            r["chapter"].cast("string"), F.lit(":"), r["verse_start"].cast("string"),
+            F.when(r["verse_end"] > r["verse_start"], F.concat(F.lit("-"), r["verse_end"].cast("string"))).otherwise(""),
+        ),
+    )
+    return understood.join(packages.select("query_id", F.col("passage_count").alias("evidence_count")), "query_id", "left").select(
+        F.col("query_id").alias("run_id"), F.col("text").alias("raw_query"), F.col("reader_language").alias("user_language"),
+        F.col("pivot_text").alias("pivot_query"), F.col("language").alias("detected_language"),
+        F.col("query_type").alias("classified_type"), F.col("confidence").alias("classification_confidence"),
+        F.to_json(refs).alias("resolved_refs"), F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"),
+    )
+
+
+def append_log(df: DataFrame, path: str, keys: Sequence[str], date: str = "run_date") -> None:
+    """Append rows whose key is not in the log yet; the log lies in folders of `date`, a column of `df`.
+
+    Only the folders of the batch's own dates are read. One writer at a time owns a date: the check and the
+    append are two steps, so two writers of one date could both append.
+    """
     spark = df.sparkSession
+    dates = [r[0] for r in df.select(date).distinct().collect()]  # the days of one batch
     try:
-        known = spark.read.parquet(path).select(*keys)
+        known = spark.read.schema(df.schema).parquet(path).filter(F.col(date).isin(dates)).select(*keys, date)
     except Exception as missing:  # the first append creates the log
         if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
             raise
         known = None
-    fresh = df if known is None else df.join(known, list(keys), "left_anti")
-    fresh.write.mode("append").parquet(path)
+    fresh = df if known is None else df.join(known, [*keys, date], "left_anti")
+    fresh.write.mode("append").partitionBy(date).parquet(path)

@@ -514,25 +514,28 @@ def fuse_ranks(
     k: int = RRF_K,
     weights: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Reciprocal rank fusion of ranked lists (query_id, passage_id, rank).
+    """Reciprocal rank fusion of ranked lists (query_id, passage_id, rank, and score or similarity where there is one).
 
-    Returns query_id, passage_id, fused_score, ranks (map), strategies (array).
+    Returns query_id, passage_id, fused_score, ranks and scores (maps by strategy), strategies (array).
     """
     weights = STRUCTURAL_WEIGHTS if weights is None else weights
     parts: DataFrame | None = None
     for strategy, ranked in lists.items():
         part = ranked.select(
             "query_id", "passage_id", F.col("rank").cast("int").alias("rank"),
+            next((F.col(c) for c in ("score", "similarity") if c in ranked.columns), F.lit(None)).cast("double").alias("score"),
             F.lit(strategy).alias("strategy"), F.lit(float(weights.get(strategy, 1.0))).alias("_w"),
         )
         parts = part if parts is None else parts.unionByName(part)
     best = parts.groupBy("query_id", "passage_id", "strategy").agg(
-        F.min("rank").alias("rank"), F.first("_w").alias("_w")
+        F.min("rank").alias("rank"), F.max("score").alias("score"), F.first("_w").alias("_w")
     )
-    entries = F.array_sort(F.collect_list(F.struct("strategy", "rank")))
+    entries = F.array_sort(F.collect_list(F.struct("strategy", "rank", "score")))
+    scored = F.filter(entries, lambda e: e["score"].isNotNull())
     return best.groupBy("query_id", "passage_id").agg(
         F.round(F.sum(F.col("_w") / (k + F.col("rank"))), 9).alias("fused_score"),
-        F.map_from_entries(entries).alias("ranks"),
+        F.map_from_entries(F.transform(entries, lambda e: F.struct(e["strategy"], e["rank"]))).alias("ranks"),
+        F.map_from_entries(F.transform(scored, lambda e: F.struct(e["strategy"], e["score"]))).alias("scores"),
         F.transform(entries, lambda e: e["strategy"]).alias("strategies"),
     )
 
@@ -583,9 +586,13 @@ def hybrid_search(
 
 
 def retrieval_trace(
-    queries: DataFrame, lists: dict[str, DataFrame], returned: DataFrame
+    queries: DataFrame, lists: dict[str, DataFrame], returned: DataFrame, facts: DataFrame | None = None
 ) -> DataFrame:
-    """One row per query: candidates per strategy, fused, returned, works."""
+    """One row per query: strategies that found something, candidates per strategy, fused, returned, works.
+
+    `facts` (query_id, ...) adds what was decided before: filters applied, rules applied. The lists are
+    read several times, so they should be written tables.
+    """
     counted: DataFrame | None = None
     seen: DataFrame | None = None
     for strategy, ranked in lists.items():
@@ -600,9 +607,10 @@ def retrieval_trace(
     kept = returned.groupBy("query_id").agg(
         F.count("*").alias("returned"), F.countDistinct("work_slug").alias("works_represented")
     )
-    return (
-        queries.select("query_id").join(counted, "query_id", "left").join(kept, "query_id", "left").na.fill(0)
-    )
+    out = queries.select("query_id").join(counted, "query_id", "left").join(kept, "query_id", "left").na.fill(0)
+    run = F.array_compact(F.array(*[F.when(F.col(f"{s}_candidates") > 0, F.lit(s)) for s in lists]))
+    out = out.withColumn("strategies_run", run)
+    return out if facts is None else out.join(facts, "query_id", "left")
 
 
 # --------------------------------------------------------------------------

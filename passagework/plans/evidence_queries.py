@@ -233,8 +233,9 @@ def flagship_corpus(c) -> Corpus:
         .groupBy("term").agg(F.min("work_slug").alias("work_slug"))
     )
     published = materialise(c.published)
+    index = Q.index_passages(published)
     return Corpus(
-        published=published, index=Q.index_passages(published), alignments=c.alignments, works=named_works(c),
+        published=published, index=index, posts=Q.build_postings(index), alignments=c.alignments, works=named_works(c),
         work_terms=bounded(terms), chapters=R.chapter_index(chapters(c)), rules=U.baseline_rules(c.spark),
         verses=c.verses, translations=c.translations,
     )
@@ -331,3 +332,37 @@ def e12(c):
 def e12_packages(c):
     answer = answer_queries(injected(c), flagship_corpus(c), vocabulary=FLAGSHIP_VOCABULARY)
     return answer["package"].select("query_id", "query_type", "passage_count", "work_count", "is_empty")
+
+
+def _answer(c, **given):
+    asked = injected(c)
+    for name, value in given.items():
+        asked = asked.withColumn(name, F.lit(value))
+    return answer_queries(asked, flagship_corpus(c), vocabulary=FLAGSHIP_VOCABULARY)
+
+
+@query(
+    "e11_log_runs",
+    with_views(
+        """SELECT t.query_id AS run_id, q.text AS raw_query, t.query_type AS classified_type, CAST(count(k.passage_id) AS BIGINT) AS evidence_count,
+          '["' || r.chapter || ':' || r.verse_start || CASE WHEN r.verse_end > r.verse_start THEN '-' || r.verse_end ELSE '' END || '"]' AS resolved_refs
+        FROM v_typed t JOIN v_turn q ON q.query_id = t.query_id JOIN v_query_ref r ON r.query_id = t.query_id
+        LEFT JOIN v_kept k ON k.query_id = t.query_id
+        GROUP BY t.query_id, q.text, t.query_type, r.chapter, r.verse_start, r.verse_end""",
+        *FLAGSHIP_VIEWS,
+    ),
+)
+def e11_runs(c):
+    return _answer(c)["runs"].select("run_id", "raw_query", "classified_type", "evidence_count", "resolved_refs")
+
+
+@query(
+    "e12_untranslated",
+    with_views(
+        """SELECT k.query_id, k.passage_id FROM v_kept k JOIN v_published p ON p.passage_id = k.passage_id WHERE p.language <> 'en'
+          AND NOT EXISTS (SELECT 1 FROM v_translation t WHERE t.passage_id = k.passage_id AND t.language = 'en')""",
+        *FLAGSHIP_VIEWS,
+    ),
+)
+def e12_untranslated(c):
+    return _answer(c, user_language="en")["untranslated"]

@@ -500,16 +500,16 @@ def d14(c):
 
 _FUSE = """
     SELECT query_id, passage_id, round(sum(w / (60 + rank)), 9) AS fused_score,
-      string_agg(strategy || '=' || rank, ',' ORDER BY strategy) AS ranks, count(*) AS n_strategies
-    FROM (SELECT query_id, passage_id, rank, 'structural' AS strategy, 1.5 AS w FROM v_structural
-      UNION ALL SELECT query_id, passage_id, rank, 'sparse', 1.0 FROM v_sparse {dense}) u GROUP BY query_id, passage_id"""
+      string_agg(strategy || '=' || rank, ',' ORDER BY strategy) AS ranks, count(*) AS n_strategies, max(score) AS sparse_score
+    FROM (SELECT query_id, passage_id, rank, 'structural' AS strategy, 1.5 AS w, CAST(NULL AS DOUBLE) AS score FROM v_structural
+      UNION ALL SELECT query_id, passage_id, rank, 'sparse', 1.0, score FROM v_sparse {dense}) u GROUP BY query_id, passage_id"""
 _DENSE = f"""
     SELECT query_id, passage_id, similarity, CAST(rnk AS INT) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, passage_id) AS rnk FROM (
         SELECT v.query_id, p.vec_id AS passage_id, {_COSINE} AS similarity
         FROM v_query v JOIN embeddings q ON q.vec_id = v.query_id // 100, embeddings p JOIN v_published b ON b.passage_id = p.vec_id) x) y
     WHERE rnk <= 100"""
-_DENSE_ARM = "UNION ALL SELECT query_id, passage_id, rank, 'dense', 1.0 FROM v_dense"
+_DENSE_ARM = "UNION ALL SELECT query_id, passage_id, rank, 'dense', 1.0, NULL FROM v_dense"
 FUSION_VIEWS = (
     *TOKEN_VIEWS, *TURN_SEARCH, ("v_structural", STRUCTURAL), ("v_sparse", sparse_sql(STRICT)),
     ("v_dense", _DENSE), ("v_fused", _FUSE.format(dense="")), ("v_fused3", _FUSE.format(dense=_DENSE_ARM)),
@@ -548,14 +548,14 @@ def three_lists(c):
 
 @query(
     "d15_fuse_ranks",
-    with_views("SELECT query_id, passage_id, fused_score, ranks, n_strategies FROM v_fused", *FUSION_VIEWS),
+    with_views("SELECT query_id, passage_id, fused_score, ranks, n_strategies, sparse_score FROM v_fused", *FUSION_VIEWS),
 )
 def d15(c):
     fused = Q.fuse_ranks(two_lists(c))
     named = F.transform(F.map_entries("ranks"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return fused.select(
         "query_id", "passage_id", "fused_score", F.array_join(F.array_sort(named), ",").alias("ranks"),
-        F.size("strategies").cast("long").alias("n_strategies"),
+        F.size("strategies").cast("long").alias("n_strategies"), F.col("scores")["sparse"].alias("sparse_score"),
     )
 
 
@@ -581,14 +581,17 @@ def d17(c):
           (SELECT count(*) FROM v_sparse s WHERE s.query_id = q.query_id) AS sparse_candidates,
           (SELECT count(*) FROM v_fused s WHERE s.query_id = q.query_id) AS fused_candidates,
           (SELECT count(*) FROM v_kept s WHERE s.query_id = q.query_id) AS returned,
-          (SELECT count(DISTINCT work_slug) FROM v_kept s WHERE s.query_id = q.query_id) AS works_represented
+          (SELECT count(DISTINCT work_slug) FROM v_kept s WHERE s.query_id = q.query_id) AS works_represented,
+          concat_ws(',', CASE WHEN EXISTS (SELECT 1 FROM v_structural s WHERE s.query_id = q.query_id) THEN 'structural' END,
+            CASE WHEN EXISTS (SELECT 1 FROM v_sparse s WHERE s.query_id = q.query_id) THEN 'sparse' END) AS strategies_run
         FROM v_query q""",
         *FUSION_VIEWS, ("v_kept", spread_sql("v_fused", 3, 12)),
     ),
 )
 def d17_trace(c):
-    lists = two_lists(c)
-    return Q.retrieval_trace(c.queries, lists, Q.hybrid_search(lists, c.published, limit=12))
+    lists = {name: materialise(ranked) for name, ranked in two_lists(c).items()}
+    trace = Q.retrieval_trace(c.queries, lists, Q.hybrid_search(lists, c.published, limit=12))
+    return trace.withColumn("strategies_run", F.array_join("strategies_run", ","))
 
 
 _WORK_FILTER = "list_contains(['src' || (w.query_id % 20), 'src' || (w.query_id % 7)], d.work_slug)"

@@ -118,6 +118,8 @@ def test_fusion_and_round_robin(spark, tables):
     b = spark.createDataFrame([(1, 1, 1), (1, 27, 2)], "query_id int, passage_id int, rank int")
     fused = Q.fuse_ranks({"structural": a, "sparse": b})
     scores = {r.passage_id: r.fused_score for r in fused.collect()}
+    scored = Q.fuse_ranks({"structural": a, "sparse": b.selectExpr("*", "2.5D AS score")})
+    assert {r.passage_id: r.scores for r in scored.collect()} == {0: {}, 9: {}, 18: {}, 1: {"sparse": 2.5}, 27: {"sparse": 2.5}}
     assert scores[1] == round(1.5 / 64 + 1 / 61, 9) and scores[0] == round(1.5 / 61, 9)
     out = Q.hybrid_search({"structural": a, "sparse": b}, passages, per_work=2, limit=10).orderBy("position").collect()
     assert [r.passage_id for r in out] == [1, 0, 9]
@@ -128,3 +130,37 @@ def test_contained_terms(spark):
     terms = spark.createDataFrame([("differ", "a"), ("hing", "b"), ("xyzw", "c")], "term string, slug string")
     got = {(r.id, r.term) for r in Q.contained_terms(texts, "text", terms, "term").collect()}
     assert got == {(1, "differ"), (2, "hing")}
+
+
+def test_any_word_search_is_exact_and_reads_stored_postings(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, f"k{i % 3}", " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(40)], k=rng.randint(3, 40)))) for i in range(300)]
+    passages = spark.createDataFrame(texts, "passage_id int, work_slug string, raw_text string")
+    index = Q.index_passages(passages)
+    posts = Q.build_postings(index)
+    asked = [(q, " OR ".join(rng.sample(words, 12))) for q in range(20)]
+    queries = spark.createDataFrame(asked, "query_id int, text string")
+    held = {i: t.split() for i, _, t in texts}
+    mean = sum(map(len, held.values())) / len(held)
+    df = {w: sum(w in t for t in held.values()) for w in words}
+
+    def score(q, i):
+        t = held[i]
+        return sum(
+            math.log(1 + (300 - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean))
+            for w in set(q.split(" OR ")) if w in t
+        )
+
+    for stored in (None, posts):
+        got = {}
+        for r in Q.sparse_search(queries, index, limit=15, posts=stored).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.passage_id, r.score))
+        for q, text in asked:
+            best = sorted((-round(score(text, i), 6), i) for i in held if score(text, i) > 0)[:15]
+            assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in best]
+    read = Q.sparse_search(queries.limit(1), index, posts=posts)
+    assert read.count() and "bucket" in posts.columns

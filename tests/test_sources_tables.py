@@ -132,11 +132,19 @@ def test_inference_statuses(spark):
 
 
 def test_log_appends_once(spark, tmp_path):
-    log = str(tmp_path / "log")
-    first = spark.createDataFrame([(1, "a"), (2, "b")], "run_id int, rule_key string")
-    E.append_log(first, log, ["run_id", "rule_key"])
-    E.append_log(first.union(spark.createDataFrame([(3, "c")], first.schema)), log, ["run_id", "rule_key"])
-    assert sorted(r.run_id for r in spark.read.parquet(log).collect()) == [1, 2, 3]
+    log, kind = str(tmp_path / "log"), "run_id int, rule_key string, run_date string"
+    keys = ["run_id", "rule_key"]
+    E.append_log(spark.createDataFrame([(1, "a", "d1"), (2, "b", "d1")], kind), log, keys)
+    E.append_log(spark.createDataFrame([(1, "a", "d1"), (3, "c", "d1"), (1, "a", "d2")], kind), log, keys)
+    assert sorted((r.run_id, r.run_date) for r in spark.read.parquet(log).collect()) == [(1, "d1"), (1, "d2"), (2, "d1"), (3, "d1")]
+
+
+def test_untranslated_depends_on_the_reader(spark):
+    results = spark.createDataFrame([(1, 10, "ar"), (1, 11, "en"), (2, 10, "ar"), (2, 12, "fr")], "query_id int, passage_id int, language string")
+    translations = spark.createDataFrame([(10, "en")], "passage_id int, language string")
+    readers = spark.createDataFrame([(1, "en"), (2, "ur")], "query_id int, language string")
+    got = {(r.query_id, r.passage_id) for r in E.untranslated_for_readers(results, translations, readers).collect()}
+    assert got == {(2, 10), (2, 12)}
 
 
 def test_only_written_partitions_are_replaced(spark, tmp_path):
