@@ -12,6 +12,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting that removes the shuffle files of an execution at its end.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cores: str | int = "*", *, shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; on a cluster, bring your own."""
     builder = (
@@ -59,7 +63,15 @@ def materialise(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
 
     Used where several branches of a job need the same costly table: it is
     computed once, survives lost executors, and each branch reads only its columns.
+    The shuffle files of the write are freed with it, so a job of several such steps
+    holds the files of one step at a time.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
