@@ -94,7 +94,7 @@ class Kind:
 
 
 WORDS = functools.partial(Kind, word_units, gram=8, stretch=lambda words, a, b: b" ".join(words[a:b]), cut=bytes.split)
-BYTES = functools.partial(Kind, byte_units, gram=32, stretch=lambda text, a, b: text[a:b], cut=bytes)
+BYTES = functools.partial(Kind, byte_units, gram=16, stretch=lambda text, a, b: text[a:b], cut=bytes)
 
 STRETCHES = "task long, shared boolean, row long, doc_id long, at int, back int, windows int, stretch binary"
 FOUND = "row long, a int, b int, doc_id long, start int, high long, low long, n long"
@@ -123,8 +123,10 @@ def stretches(docs: DataFrame, kind: Kind) -> DataFrame:
 
     spots = rows.select("row", "text").mapInArrow(find, "anchor long, row long, spot long")
     again = materialise(spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
-    # A row's own spots are bounded by its text.
-    own = spots.join(again, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "n", "spot")).alias("spots"))
+    # A row's own spots are bounded by its text. Written, so that the shuffles before don't add to those of the texts.
+    own = materialise(
+        spots.join(again, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "n", "spot")).alias("spots"))
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
