@@ -15,7 +15,7 @@ from passagework.llm.language import fit as fit_languages
 from passagework.llm.language import held_out, keep_identified
 from passagework.llm.personal_data import fit as fit_personal_data
 from passagework.llm.personal_data import mask_documents
-from passagework.llm.pieces import decode_pieces, encode_pieces, piece_digests
+from passagework.llm.pieces import encode_pieces, piece_digests
 from passagework.session import materialise
 
 
@@ -42,7 +42,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return piece_digests(decode_pieces(encode_pieces(docs, model), model))
+    return piece_digests(encode_pieces(docs, model, decode=True))
 
 
 STAGES = [

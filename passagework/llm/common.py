@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from passagework.session import materialise
 
 #: Text that one step of a Python task holds in expanded form, in bytes.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

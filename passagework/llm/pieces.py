@@ -173,9 +173,11 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
-def encode_pieces(docs: DataFrame, model_path: str, *, end: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, *, end: bool = True, decode: bool = False) -> DataFrame:
     """doc_id, ids, span_starts, span_ends of every whole text (null: empty), end id last.
 
+    With `decode`, decoded is added, the library's text of the ids, in the same pass over the tokens.
+
     Spans are original UTF-8 byte offsets, end exclusive; an id that stands for no text has an empty span
     at the end. Rows are independent: repeated rows repeat, an empty table stays empty, further columns
     are not read.
@@ -187,14 +189,14 @@ def encode_pieces(docs: DataFrame, model_path: str, *, end: bool = True) -> Data
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids = [np.array(x, dtype=np.int64) for x in model.processor.encode(texts, num_threads=1, add_bos=False, add_eos=end)]
             spans = [model.spans(t, x) for t, x in zip(texts, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), _lists(ids), _lists([s for s, _ in spans]), _lists([e for _, e in spans])],
-                ["doc_id", "ids", "span_starts", "span_ends"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(
-        encode, "doc_id long, ids array<int>, span_starts array<int>, span_ends array<int>"
-    )
+            columns = [b.column("doc_id"), _lists(ids), _lists([s for s, _ in spans]), _lists([e for _, e in spans])]
+            if decode:
+                columns.append(pa.array([model.processor.decode(x.tolist()) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = ["doc_id long", "ids array<int>", "span_starts array<int>", "span_ends array<int>", *["decoded string"] * decode]
+    names = [k.split()[0] for k in kinds]
+    return docs.select("doc_id", "text").mapInArrow(encode, ", ".join(kinds))
 
 
 def decode_pieces(tokens: DataFrame, model_path: str) -> DataFrame:

@@ -18,7 +18,7 @@ from passagework.llm.language import held_out, identify
 from passagework.llm.personal_data import find_personal_data
 from passagework.llm.personal_data import fit as fit_personal_data
 from passagework.llm.phrases import remove_repeated_phrases
-from passagework.llm.pieces import decode_pieces, encode_pieces, piece_digests
+from passagework.llm.pieces import encode_pieces, piece_digests
 from passagework.llm.sharding import shard_documents
 from passagework.llm.suffixes import remove_repeated_strings
 from passagework.llm.token_files import token_digests, write_documents
@@ -41,7 +41,7 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return piece_digests(decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model))
+    return piece_digests(encode_pieces(table(spark, sf_dir, "documents"), model, decode=True))
 
 
 @registered

@@ -63,6 +63,7 @@ def test_pieces_are_the_librarys(docs, rows):
     want = [(i, library.encode(t or "", add_eos=True)) for i, t, _ in rows]
     assert sorted([(r.doc_id, r.ids) for r in got], key=repr) == sorted(want, key=repr)
     assert all(r.decoded == library.decode(r.ids) for r in got)
+    assert sorted(map(tuple, encode_pieces(docs, PIECES, decode=True).collect()), key=repr) == sorted(map(tuple, got), key=repr)
 
 
 def test_spans_cover_the_text():
