@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 from passagework.functions import vocab as V
+from passagework.session import materialise
 
 MIN_QUOTE_WORDS = 2
 MIN_SUPPORT = 3
@@ -70,20 +71,22 @@ def _span(quoted: Column, words: Column) -> Column:
 
 def quoted_spans(
     passage_verses: DataFrame, verses: DataFrame, *, text: str = "raw_text",
-    brackets: Sequence[str] = T.BRACKETS, min_words: int = MIN_QUOTE_WORDS,
+    brackets: Sequence[str] = T.BRACKETS, min_words: int = MIN_QUOTE_WORDS, carry: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row per (passage, verse): its words and the spans it quotes, in order.
 
     passage_verses: passage_id, chapter, verse, text. verses: output of
-    `verse_words`. Adds `spans`, array of (ord, start_word, end_word).
+    `verse_words`. Adds `spans`, array of (ord, start_word, end_word), and the columns of `carry`,
+    which are taken from the same read of the text.
     """
+    carry = carry or {}
     quotes = F.filter(
         F.transform(quotations("_t", brackets), lambda q: F.split(q, " ")),
         lambda w: F.size(w) >= min_words,
     )
     rows = (
-        passage_verses.select("passage_id", *VERSE, T.compose(text).alias("_t"))
-        .select("passage_id", *VERSE, quotes.alias("_quotes"), "_t")
+        passage_verses.select("passage_id", *VERSE, T.compose(text).alias("_t"), *[c.alias(n) for n, c in carry.items()])
+        .select("passage_id", *VERSE, quotes.alias("_quotes"), "_t", *carry)
         .join(verses.select(*VERSE, "words"), VERSE)
     )
     found = F.transform(
@@ -98,7 +101,7 @@ def quoted_spans(
         ),
     )
     return rows.select(
-        "passage_id", *VERSE, "words",
+        "passage_id", *VERSE, *carry, "words",
         F.array_distinct(F.split(T.fold_composed("_t"), " ")).alias("passage_words"),
         F.when(F.size("_quotes") > 0, spans)
         .otherwise(F.array().cast("array<struct<ord:int,start_word:int,end_word:int>>")).alias("spans"),
@@ -226,11 +229,12 @@ def align_passages(
     *,
     function_words: Sequence[str] = V.CLAUSE_FUNCTION_WORDS,
     content_length: int = 4,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Which clause each passage treats, by quotation or else by word overlap.
 
     Returns passage_id, chapter, verse, clause_index, basis, matched_words,
-    confidence; passages with no evidence are left out.
+    confidence and the columns of `carry`; passages with no evidence are left out.
     """
     per_verse = clauses.groupBy(*VERSE).agg(
         F.array_sort(F.collect_list(F.struct("clause_index", "start_word", "end_word"))).alias("clauses")
@@ -269,13 +273,13 @@ def align_passages(
         .withColumn("_quote", longest)
         .withColumn("_run", F.when(F.col("_quote").isNull(), run))
     )
-    held = T.unnest(searched, ["passage_id", *VERSE, "clauses"], F.array(evidence), "_e")
+    held = T.unnest(searched, ["passage_id", *VERSE, *carry, "clauses"], F.array(evidence), "_e")
     return (
-        T.unnest(held, ["passage_id", *VERSE, "_e"], F.filter(F.array(best), lambda b: b["matched"] > 0), "_best")
+        T.unnest(held, ["passage_id", *VERSE, *carry, "_e"], F.filter(F.array(best), lambda b: b["matched"] > 0), "_best")
         .select(
             "passage_id", *VERSE, (-F.col("_best.index")).alias("clause_index"), F.col("_e.basis").alias("basis"),
             F.col("_best.matched").alias("matched_words"),
-            F.round(base * F.least(F.lit(1.0), F.col("_best.matched") / F.col("_best.size")), 3).alias("confidence"),
+            F.round(base * F.least(F.lit(1.0), F.col("_best.matched") / F.col("_best.size")), 3).alias("confidence"), *carry,
         )
     )
 
@@ -294,17 +298,19 @@ def build_clauses(
 ) -> tuple[DataFrame, DataFrame]:
     """Clauses of every verse that has commentary, and the passages' alignments.
 
-    The alignments carry gist and opens_discussion, ready for the reading view.
+    The alignments carry gist and opens_discussion, ready for the reading view. Texts are read once: the
+    spans, with both columns, are written. So are the clauses, whose measured size then lets them
+    broadcast, and word lists meet them where they lie.
     """
     covered = passage_verses.select(*VERSE).distinct()
     words = verse_words(verses).join(covered, VERSE, "left_semi")
-    spans = quoted_spans(passage_verses, words, text=text, brackets=brackets)
-    clauses = cover_verses(words, accept_spans(span_support(spans)))
-    notes = passage_verses.select(
-        "passage_id", *VERSE, T.gist(text, headers=headers).alias("gist"),
-        T.opens_discussion(text, headers=headers, brackets=brackets).alias("opens_discussion"),
-    )
-    return clauses, align_passages(spans, clauses).join(notes, ["passage_id", *VERSE])
+    carry = {
+        "gist": T.gist(text, headers=headers),
+        "opens_discussion": T.opens_discussion(text, headers=headers, brackets=brackets),
+    }
+    spans = materialise(quoted_spans(passage_verses, words, text=text, brackets=brackets, carry=carry))
+    clauses = materialise(cover_verses(words, accept_spans(span_support(spans))))
+    return clauses, align_passages(spans, clauses, carry=list(carry))
 
 
 def clause_report(clauses: DataFrame, passage_verses: DataFrame, aligned: DataFrame) -> DataFrame:

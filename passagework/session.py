@@ -74,4 +74,18 @@ def materialise(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         df.write.partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Paths of the tables that this process has written between steps.
+_WRITTEN: list[str] = []
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that `materialise` has written so far, once a job's results are stored; returns their number."""
+    paths = [_WRITTEN.pop() for _ in range(len(_WRITTEN))]
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
