@@ -359,7 +359,7 @@ def _any_word(wanted: DataFrame, parts: DataFrame, query_works: DataFrame | None
 # --------------------------------------------------------------------------
 
 def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.asarray(rows.tolist(), dtype=np.float64)
+    m = np.stack(rows.to_numpy()).astype(np.float64)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     norms[norms == 0] = 1.0
     return m / norms
@@ -376,19 +376,32 @@ def _best_in_tile(k: int):
         right = right.sort_values("passage_id", kind="stable")
         ids, slugs = right["passage_id"].to_numpy(), right["work_slug"].to_numpy()
         corpus = _unit(right["vector"]).T
+        masks: dict[tuple, np.ndarray] = {}  # one per distinct list of works
         out = []
         for first in range(0, len(left), _BLOCK_ROWS):
             block = left.iloc[first : first + _BLOCK_ROWS]
             scores = np.round(_unit(block["vector"]) @ corpus, 12)
+            by_works: dict[tuple, list[int]] = {}
             for row, works in enumerate(block["works"]):
                 if works is not None:
-                    scores[row, ~np.isin(slugs, np.asarray(list(works)))] = -np.inf
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(scores, best, axis=1)
-            keep = np.isfinite(found)
-            q = np.repeat(block["query_id"].to_numpy(), best.shape[1]).reshape(best.shape)
+                    by_works.setdefault(tuple(works), []).append(row)
+            for works, rows in by_works.items():
+                if works not in masks:
+                    masks[works] = ~np.isin(slugs, np.asarray(list(works)))
+                scores[np.ix_(rows, masks[works])] = -np.inf
+            # Everything that reaches the kth score, ties too; of those the first k by score and passage.
+            if k < scores.shape[1]:
+                least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
+            else:
+                least = -np.inf
+            row, col = np.nonzero((scores >= least) & np.isfinite(scores))
+            order = np.lexsort((col, -scores[row, col], row))
+            row, col = row[order], col[order]
+            starts = np.searchsorted(row, np.arange(len(block)))
+            first = np.arange(len(row)) - starts[row] < k
+            row, col = row[first], col[first]
             out.append(
-                pd.DataFrame({"query_id": q[keep], "passage_id": ids[best[keep]], "similarity": found[keep]})
+                pd.DataFrame({"query_id": block["query_id"].to_numpy()[row], "passage_id": ids[col], "similarity": scores[row, col]})
             )
         return pd.concat(out)
 
