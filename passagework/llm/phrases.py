@@ -41,12 +41,11 @@ def _locate(texts: list[str], passages: list[str]) -> Iterator[tuple[int, int, i
         automaton.add_word(p, len(p))
     automaton.make_automaton()
     for i, text in enumerate(texts):
-        blanks = None
-        for end, size in automaton.iter(text):
-            if blanks is None:
-                blanks = np.flatnonzero(np.frombuffer(text.encode("latin-1"), dtype=np.uint8) == 32)
-            a, b = np.searchsorted(blanks, [end + 1 - size, end])
-            yield i, int(a), int(b)
+        found = np.array(list(automaton.iter(text)), dtype=np.int64)
+        if len(found):
+            blanks = np.flatnonzero(np.frombuffer(text.encode("latin-1"), dtype=np.uint8) == 32)
+            first, last = np.searchsorted(blanks, found[:, 0] + 1 - found[:, 1]), np.searchsorted(blanks, found[:, 0])
+            yield from zip([i] * len(found), first.tolist(), last.tolist(), strict=True)
 
 
 def compare_words(window: int):
@@ -56,12 +55,14 @@ def compare_words(window: int):
         hashes = WordHashes()
         stretch = table.column("stretch").to_pylist()
         words = [s.split(b" ") for s in stretch]
-        codes = [runs(hashes.of(w), window) for w in words]
-        lens = np.array([len(c) for c in codes])
-        owner = np.repeat(np.arange(len(codes)), lens)
+        sizes = np.array([len(w) for w in words])
+        lens = sizes - window + 1  # windows of each stretch
+        owner = np.repeat(np.arange(len(words)), lens)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)
+        # All stretches in one pass; runs across two of them are not looked at.
+        codes = runs(hashes.of([x for w in words for x in w]), window)
         task = table.column("task").to_numpy()[owner]
-        every = np.concatenate(codes) ^ (task.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        every = codes[(np.cumsum(sizes) - sizes)[owner] + place] ^ (task.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         _, first, which, counts = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
         again = counts[which] > 1
         # Runs of recurring windows are passages.

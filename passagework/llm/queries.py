@@ -38,6 +38,22 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+ORACLES["op1_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), linked AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, l.y FROM reach r JOIN linked l ON l.x = r.other
+)
+SELECT e.vec_id, (SELECT count(*) FROM linked l WHERE l.x = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) c ON c.id = e.vec_id
+"""
+
+
 @registered
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -65,18 +81,68 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "kept")
 
 
+ORACLES["op5_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0) x
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+linked AS (SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE k / (a.n + b.n - k) >= 0.8),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, l.y FROM reach r JOIN linked l ON l.x = r.other)
+SELECT d.doc_id, c.class_id, (SELECT count(*) FROM linked l WHERE l.x = d.doc_id) AS n_links, d.doc_id = c.class_id AS kept
+FROM d JOIN (SELECT id, min(other) AS class_id FROM reach GROUP BY id) c ON c.id = d.doc_id
+"""
+
+
 @registered
 def op6_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_phrases(table(spark, sf_dir, "documents"), window=35)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op6_repeated_phrases"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35) x
+), again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM win SEMI JOIN again USING (h)),
+word AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+
 @registered
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_strings(table(spark, sf_dir, "documents"), window=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op7_suffix_dedup"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents
+), spot AS (SELECT doc_id, x, unnest(range(n - 99)) AS i FROM d WHERE n >= 100),
+win AS (SELECT doc_id, i, md5(substr(x, CAST(2 * i + 1 AS BIGINT), 200)) AS h FROM spot),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 100)) AS p FROM later),
+byte AS (SELECT doc_id, x, unnest(range(n)) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(substr(x, CAST(2 * p + 1 AS BIGINT), 2), '' ORDER BY p) AS x FROM byte ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+), lost AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE fresh) AS spans FROM (
+    SELECT doc_id, p - lag(p, 1, -9) OVER (PARTITION BY doc_id ORDER BY p) > 1 AS fresh FROM gone) y GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(lost.spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept.x, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+
 @registered
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
