@@ -53,49 +53,60 @@ def compare_words(window: int):
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        stretch = table.column("stretch").to_pylist()
-        words = [s.split(b" ") for s in stretch]
+        # Most stretches of a frequent anchor are the same text: each is looked at once and counts as often as it occurs.
+        known: dict[tuple[int, bytes], int] = {}
+        kinds = np.array([known.setdefault(k, len(known)) for k in zip(table.column("task").to_pylist(), table.column("stretch").to_pylist(), strict=True)])
+        task = np.array([t for t, _ in known], dtype=np.int64)
+        words = [s.split(b" ") for _, s in known]
+        often = np.bincount(kinds)
         sizes = np.array([len(w) for w in words])
         lens = sizes - window + 1  # windows of each stretch
+        firsts = np.cumsum(lens) - lens
         owner = np.repeat(np.arange(len(words)), lens)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)
+        place = np.arange(len(owner)) - firsts[owner]
         # All stretches in one pass; runs across two of them are not looked at.
         codes = runs(hashes.of([x for w in words for x in w]), window)
-        task = table.column("task").to_numpy()[owner]
-        every = codes[(np.cumsum(sizes) - sizes)[owner] + place] ^ (task.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, first, which, counts = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+        every = codes[(np.cumsum(sizes) - sizes)[owner] + place] ^ (task[owner].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _, first, which = np.unique(every, return_index=True, return_inverse=True)
+        counts = np.bincount(which, weights=often[owner]).astype(np.int64)
         again = counts[which] > 1
         # Runs of recurring windows are passages.
-        text = [(b" " + b" ".join(w) + b" ").decode("latin-1") for w in words]
         patterns: dict[str, set[int]] = {}
-        for i, (s, n) in enumerate(zip((np.cumsum(lens) - lens).tolist(), lens.tolist(), strict=True)):
-            hit = np.flatnonzero(again[s : s + n])
-            if len(hit):
-                cuts = np.flatnonzero(hit[1:] - hit[:-1] > 1)
-                for a, b in zip(hit[np.concatenate([[0], cuts + 1])].tolist(), hit[np.concatenate([cuts, [len(hit) - 1]])].tolist(), strict=True):
-                    patterns.setdefault((b" " + b" ".join(words[i][a : b + window]) + b" ").decode("latin-1"), set()).add(i)
-        row, at, back, shared = (table.column(c).to_numpy() for c in ("row", "at", "back", "shared"))
-        base = (at - back).astype(np.int64)
+        hit = np.flatnonzero(again)
+        if len(hit):
+            cuts = np.flatnonzero((hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]]))
+            heads, tails = hit[np.concatenate([[0], cuts + 1])], hit[np.concatenate([cuts, [len(hit) - 1]])]
+            for i, x, y in zip(owner[heads].tolist(), place[heads].tolist(), place[tails].tolist(), strict=True):
+                patterns.setdefault((b" " + b" ".join(words[i][x : y + window]) + b" ").decode("latin-1"), set()).add(i)
         gone: list[tuple[int, int, int]] = []
         shard: list[str] = []
         size, holders = 0, set()
-        for p in [*sorted(patterns, key=lambda p: min(patterns[p])), None]:
+        for p in [*patterns, None]:
             if p is None or size + len(p) > AUTOMATON_CHARS and shard:
-                rows = sorted(holders)
-                gone += [(int(row[rows[i]]), int(base[rows[i]]) + a, int(base[rows[i]]) + b) for i, a, b in _locate([text[i] for i in rows], shard)]
+                held = sorted(holders)
+                texts = [(b" " + b" ".join(words[i]) + b" ").decode("latin-1") for i in held]
+                gone += [(held[i], x, y) for i, x, y in _locate(texts, shard)]
                 shard, size, holders = [], 0, set()
             if p is not None:
                 shard.append(p)
                 size += len(p)
                 holders |= patterns[p]
+        row, at, back, shared = (table.column(c).to_numpy() for c in ("row", "at", "back", "shared"))
+        base = (at - back).astype(np.int64)
         if gone:
-            joined = list(_joined(gone))
-            yield found_rows(row=[r for r, _, _ in joined], a=[a for _, a, _ in joined], b=[b for _, _, b in joined])
-        heads = first[shared[owner[first]]]
-        if len(heads):
-            digests = [xxhash.xxh3_128_intdigest(b" ".join(words[o][p : p + window])) for o, p in zip(owner[heads].tolist(), place[heads].tolist(), strict=True)]
+            spans = np.array(list(_joined(gone)), dtype=np.int64)
+            start, n = np.searchsorted(spans[:, 0], kinds), np.bincount(spans[:, 0], minlength=len(words))[kinds]
+            rows = np.repeat(np.arange(len(kinds)), n)
+            span = np.repeat(start, n) + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            yield found_rows(row=row[rows], a=(base[rows] + spans[span, 1]).astype(np.int32), b=(base[rows] + spans[span, 2]).astype(np.int32))
+        one = np.zeros(len(words), dtype=np.int64)
+        one[kinds[::-1]] = np.arange(len(kinds))[::-1]  # the first row of each stretch
+        new = first[shared[one[owner[first]]]]
+        if len(new):
+            digests = [xxhash.xxh3_128_intdigest(b" ".join(words[o][p : p + window])) for o, p in zip(owner[new].tolist(), place[new].tolist(), strict=True)]
+            holder = one[owner[new]]
             yield found_rows(
-                row=row[owner[heads]], start=(base[owner[heads]] + place[heads]).astype(np.int32), n=counts[which[heads]],
+                row=row[holder], start=(base[holder] + place[new]).astype(np.int32), n=counts[which[new]],
                 high=np.array([d >> 64 for d in digests], dtype=np.uint64).view(np.int64), low=np.array([d & (1 << 64) - 1 for d in digests], dtype=np.uint64).view(np.int64),
             )
 

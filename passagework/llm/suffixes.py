@@ -136,6 +136,16 @@ def compare_bytes(window: int):
         # A row that repeats brings its stretches again.
         again = np.concatenate([[False], (row[order][1:] == row[order][:-1]) & (at[order][1:] == at[order][:-1]) & (task[order][1:] == task[order][:-1])])
         table = table.take(pa.array(order[~again]))
+        # A stretch that has been seen before, in this order, goes whole; only first ones are sorted.
+        seen: dict[tuple[int, int, bytes], int] = {}
+        keys = zip(table.column("task").to_pylist(), table.column("back").to_pylist(), table.column("stretch").to_pylist(), strict=True)
+        fresh = np.array([seen.setdefault(k, i) == i for i, k in enumerate(keys)])
+        if not fresh.all():
+            late = table.filter(pa.array(~fresh))
+            start = late.column("at").to_numpy().astype(np.int64) - late.column("back").to_numpy()
+            end = start + late.column("windows").to_numpy() - 1 + window
+            yield found_rows(row=late.column("row").to_numpy(), a=start.astype(np.int32), b=end.astype(np.int32))
+            table = table.filter(pa.array(fresh))
         row, task = table.column("row").to_numpy(), table.column("task").to_numpy()
         at, back, windows = (table.column(c).to_numpy().astype(np.int64) for c in ("at", "back", "windows"))
         shared_task = table.column("shared").to_numpy()
