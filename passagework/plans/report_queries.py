@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
@@ -487,6 +489,71 @@ def j2_rules(c):
     return J.check(rules, "scholarly_rule", "rule_key", J.RULES["scholarly_rule"])
 
 
+def _violations(rows: list[tuple[str, str, str, str]]) -> str:
+    """UNION of (table, key expression, rule, FROM and WHERE)."""
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, CAST({key} AS VARCHAR) AS row_key, '{rule}' AS rule FROM {broken}" for table, key, rule, broken in rows
+    )
+
+
+@query(
+    "j2_entity_checks",
+    _violations([
+        ("work", "s_suppkey", "classification_needs_source", "supplier WHERE s_suppkey % 5 <> 0 AND s_acctbal < 0"),
+        ("passage", "o_orderkey", "passage_page_order", "orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 11 < o_custkey % 7"),
+        ("scan_page", "page_id", "page_exactly_one_parent", "pages WHERE page_id % 4 IN (0, 3)"),
+        ("verse_summary", "conv_id * 100 + turn", "summary_is_synthesis", "conversations WHERE role = 'system'"),
+        ("verse_summary", "conv_id * 100 + turn", "summary_has_evidence", "conversations WHERE turn % 3 = 0"),
+        ("verse_summary", "conv_id * 100 + turn", "summary_counts_consistent", "conversations WHERE turn % 4 = 1"),
+        ("author", "c_custkey", "author_years_ordered", "customer WHERE c_nationkey > 2 AND c_custkey % 25 < c_nationkey"),
+        ("author_relation", "n_nationkey", "relation_not_self", "nation WHERE n_nationkey = n_regionkey"),
+        ("clause", "event_id", "clause_word_order", "events WHERE event_id % 9 < event_id % 4 OR event_id % 13 = 0"),
+    ]),
+)
+def j2_entities(c):
+    col = F.col
+    of = lambda name, key: c.table(name).withColumn("k", key)
+    turn = of("conversations", col("conv_id") * 100 + col("turn"))
+    sets = {
+        "work": of("supplier", col("s_suppkey")).select(
+            "k", F.when(col("s_suppkey") % 5 == 0, "UNCLASSIFIED").otherwise("SUNNI").alias("tradition"),
+            F.when(col("s_acctbal") >= 0, col("s_name")).alias("classification_source"),
+        ),
+        "passage": of("orders", col("o_orderkey")).select(
+            "k", F.when(col("o_custkey") % 3 != 0, col("o_custkey") % 7).alias("page_start"), (col("o_orderkey") % 11).alias("page_end")
+        ),
+        "scan_page": of("pages", col("page_id")).select(
+            "k", F.when(col("page_id") % 4 < 2, col("page_id")).alias("edition_id"),
+            F.when(col("page_id") % 4 % 3 == 0, F.lit(None)).when(col("page_id") % 4 == 2, col("url")).alias("biblio_source_id"),
+        ).withColumn("edition_id", F.when(col("k") % 4 == 1, col("edition_id"))),
+        "verse_summary": turn.select(
+            "k", F.when(col("role") == "system", "CLAIM").otherwise("SYNTHESIS").alias("evidence_type"),
+            F.when(col("turn") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array("conv_id")).alias("cited_passage_ids"),
+            col("turn").alias("sentences_kept"), F.lit(1).alias("sentences_removed"),
+            (col("turn") + F.when(col("turn") % 4 == 1, 2).otherwise(1)).alias("sentences_generated"),
+        ),
+        "author": of("customer", col("c_custkey")).select(
+            "k", F.when(col("c_nationkey") > 2, col("c_nationkey")).alias("birth_year"), (col("c_custkey") % 25).alias("death_year")
+        ),
+        "author_relation": of("nation", col("n_nationkey")).select("k", col("n_nationkey").alias("from_author"), col("n_regionkey").alias("to_author")),
+        "clause": of("events", col("event_id")).select(
+            "k", (col("event_id") % 9).alias("end_word"),
+            F.when(col("event_id") % 13 == 0, -1).otherwise(col("event_id") % 4).alias("start_word"),
+        ),
+    }
+    found = [J.check(rows, name, "k", J.RULES[name]) for name, rows in sets.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query(
+    "j5_restricted",
+    "SELECT s_suppkey FROM supplier WHERE s_acctbal < 0 AND EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_linenumber = 7)",
+)
+def j5_restricted(c):
+    held = c.table("lineitem").filter("l_linenumber = 7").select("l_suppkey")
+    return J.restricted_deletes(held, c.table("supplier").filter("s_acctbal < 0"), "l_suppkey", "s_suppkey").select("s_suppkey")
+
+
 @query(
     "j3_immutability",
     with_views("""SELECT CAST(page_id AS VARCHAR) AS row_key, 'ocr_raw_text' AS "column" FROM v_scan_page
