@@ -19,6 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one Arrow batch between the JVM and a Python task: at Spark's default of 10,000 whole documents, both
+#: sides would hold tens of megabytes per batch, and keep them.
+BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """`df.mapInArrow` with batches of a bounded number of documents; lowers the session's setting where it is higher."""
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    return df.mapInArrow(function, schema)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose `column` has about `limit` bytes (one row at least).
 
@@ -35,6 +49,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def prefix_sums(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagework.llm.common import mapped
 from passagework.llm.links import block_pairs, components, each_task, spanning
 from passagework.session import materialise
 
@@ -113,7 +114,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.98, tables: int = 1
                     )
 
     schema = "label string, dims long, id long, copies long, unit binary, codes array<long>"
-    hashed_rows = materialise(classed.mapInArrow(hashed, schema))
+    hashed_rows = materialise(classed.transform(mapped, hashed, schema))
     spots = hashed_rows.select("label", "dims", "id", F.posexplode("codes").alias("at", "code")).select(
         F.xxhash64("label", "dims", F.floor(F.col("at") / (1 + probes)), "code").alias("bucket"), "id"
     ).distinct()

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import chunks
+from passagework.llm.common import chunks, mapped
 from passagework.llm.decontamination import row_key
 from passagework.llm.links import block_pairs, components, each_task, spanning
 from passagework.llm.word_codes import WordHashes, shingles
@@ -97,7 +97,7 @@ def sketches(docs: DataFrame, length: int, trees: int, longest: int, prefix: int
             )
 
     rows = docs.select(row_key(docs).alias("row"), "doc_id", "text").where("doc_id is not null")
-    return rows.mapInArrow(sketch, "row long, doc_id long, node long, n long, signature binary, prefixes array<long>")
+    return rows.transform(mapped, sketch, "row long, doc_id long, node long, n long, signature binary, prefixes array<long>")
 
 
 def candidates(nodes: DataFrame, threshold: float, trees: int, longest: int, prefix: int) -> DataFrame:
@@ -168,7 +168,7 @@ def verified(docs: DataFrame, members: DataFrame, length: int, threshold: float)
 
     # The members grow with the corpus, so they are shuffled at every size and never broadcast.
     texts = docs.where("doc_id is not null").select(row_key(docs).alias("row"), "text").join(members.select("row", "id").hint("merge"), "row")
-    sets = texts.select("id", "text").mapInArrow(cut, "id long, shingles binary")
+    sets = texts.select("id", "text").transform(mapped, cut, "id long, shingles binary")
     dealt = block_pairs(narrow, ["component"], "n").join(sets, "id")
 
     def verify(group: pa.Table) -> Iterator[dict]:

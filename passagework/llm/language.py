@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.llm.common import chunks
+from passagework.llm.common import chunks, mapped
 
 #: Hashed n-gram dimensions.
 DIMENSIONS = 4096
@@ -104,7 +104,7 @@ def fit(labelled: DataFrame, *, per_language: int = 200, max_languages: int = 32
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMENSIONS + 1)), pa.array(held)], ["gram", "held"])
 
     counts = np.zeros(DIMENSIONS + 1)
-    for r in rows.select("text").mapInArrow(frequencies, "gram long, held long").groupBy("gram").agg(F.sum("held").alias("held")).collect():
+    for r in rows.select("text").transform(mapped, frequencies, "gram long, held long").groupBy("gram").agg(F.sum("held").alias("held")).collect():
         counts[r.gram] = r.held
     idf = (np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1).astype(np.float32)
 
@@ -126,7 +126,7 @@ def fit(labelled: DataFrame, *, per_language: int = 200, max_languages: int = 32
 
     picked = hashed.join(F.broadcast(cut), "lang").where("h <= cut").dropDuplicates(["lang", "h"]).select("lang", "h", "text")
     held: dict[str, list[tuple[int, bytes]]] = {}
-    for r in picked.mapInArrow(sample, "lang string, h long, v binary").collect():  # bounded by the sample
+    for r in picked.transform(mapped, sample, "lang string, h long, v binary").collect():  # bounded by the sample
         held.setdefault(r.lang, []).append((r.h, bytes(r.v)))
     centroids, languages, nearest = [], [], []
     for lang in sorted(held):
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "lang_pred", "score", "rejected"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").transform(mapped, predict, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -170,4 +170,4 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             rejected = model.predict(b.column("text").to_pylist())[2]
             yield b.filter(pa.array([not x for x in rejected], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(mapped, keep, docs.schema)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagework.llm.common import mapped
 from passagework.session import materialise
 
 #: Members of one block; a task compares one block with another at a time.
@@ -65,7 +66,7 @@ def each_task(dealt: DataFrame, columns: list[str], compare: Callable[[pa.Table]
             for made in compare(group):
                 yield pa.RecordBatch.from_pydict(made)
 
-    return dealt.select("task", "left", "right", *columns).repartition("task").sortWithinPartitions("task").mapInArrow(run, schema)
+    return dealt.select("task", "left", "right", *columns).repartition("task").sortWithinPartitions("task").transform(mapped, run, schema)
 
 
 def spanning(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[list[int], list[int]]:

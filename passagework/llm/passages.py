@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import chunks
+from passagework.llm.common import chunks, mapped
 from passagework.llm.decontamination import row_key
 from passagework.llm.word_codes import MULTIPLIER, WordHashes, mixed
 from passagework.session import materialise
@@ -121,7 +121,7 @@ def stretches(docs: DataFrame, kind: Kind) -> DataFrame:
                     ["anchor", "row", "spot"],
                 )
 
-    spots = rows.select("row", "text").mapInArrow(find, "anchor long, row long, spot long")
+    spots = rows.select("row", "text").transform(mapped, find, "anchor long, row long, spot long")
     again = materialise(spots.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     # A row's own spots are bounded by its text. Written, so that the shuffles before don't add to those of the texts.
     own = materialise(
@@ -151,7 +151,7 @@ def stretches(docs: DataFrame, kind: Kind) -> DataFrame:
                     ["task", "shared", "row", "doc_id", "at", "back", "windows", "stretch"],
                 )
 
-    return rows.join(own, "row").mapInArrow(cut, STRETCHES)
+    return rows.join(own, "row").transform(mapped, cut, STRETCHES)
 
 
 def batches_of_tasks(batches: Iterator[pa.RecordBatch], rows: int = 4 * TOGETHER) -> Iterator[pa.Table]:
@@ -189,7 +189,7 @@ def compared(found: DataFrame, compare: Callable[[pa.Table], Iterator[pa.RecordB
         for table in batches_of_tasks(batches):
             yield from compare(table)
 
-    return materialise(found.repartition("task").sortWithinPartitions("task").mapInArrow(run, FOUND))
+    return materialise(found.repartition("task").sortWithinPartitions("task").transform(mapped, run, FOUND))
 
 
 def ranges(a: np.ndarray, window: int) -> list[tuple[int, int]]:

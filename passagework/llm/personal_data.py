@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import chunks
+from passagework.llm.common import chunks, mapped
 
 #: The kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, sample: int = 400) -> Field:
                             made[t[s:e]] = bool(base_spans(t[s:e]))
             yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array(list(made.values()), pa.bool_())], ["text", "held"])
 
-    cuts = docs.select("text").mapInArrow(cut, "text string, held boolean").distinct()
+    cuts = docs.select("text").transform(mapped, cut, "text string, held boolean").distinct()
     order = F.xxhash64("text")
     picked = [cuts.where(F.col("held") == held).orderBy(order, "text").limit(sample) for held in (True, False)]
     examples = []
@@ -382,8 +382,8 @@ def find_personal_data(docs: DataFrame, field: Field) -> DataFrame:
                 ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    return docs.select("doc_id", "text").transform(
+        mapped, find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     )
 
 
@@ -412,4 +412,4 @@ def mask_documents(docs: DataFrame, field: Field) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array([len(t) if t is not None and n is not None else n for t, n in zip(texts, old, strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(rewrite, docs.schema)
+    return docs.transform(mapped, rewrite, docs.schema)

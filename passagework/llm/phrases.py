@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import chunks
+from passagework.llm.common import chunks, mapped
 from passagework.llm.passages import FOUND, WORDS, compared, rows_with_ranges, stretches
 from passagework.llm.word_codes import WordHashes, runs
 
@@ -160,7 +160,7 @@ def remove_repeated_phrases(docs: DataFrame, window: int = 35) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return rows_with_ranges(docs, repeated_phrases(docs, window)).select("doc_id", "text", "gone").mapInArrow(
-        strike, "doc_id long, n_words long, n_removed long, kept string"
+    return rows_with_ranges(docs, repeated_phrases(docs, window)).select("doc_id", "text", "gone").transform(
+        mapped, strike, "doc_id long, n_words long, n_removed long, kept string"
     )
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import chunks
+from passagework.llm.common import chunks, mapped
 
 #: The library's white-space sign, U+2581.
 BLANK = "▁".encode()
@@ -196,7 +196,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, end: bool = True, decode:
 
     kinds = ["doc_id long", "ids array<int>", "span_starts array<int>", "span_ends array<int>", *["decoded string"] * decode]
     names = [k.split()[0] for k in kinds]
-    return docs.select("doc_id", "text").mapInArrow(encode, ", ".join(kinds))
+    return docs.select("doc_id", "text").transform(mapped, encode, ", ".join(kinds))
 
 
 def decode_pieces(tokens: DataFrame, model_path: str) -> DataFrame:
@@ -211,8 +211,8 @@ def decode_pieces(tokens: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     columns = ["doc_id", "ids", "span_starts", "span_ends"]
-    return tokens.select(*columns).mapInArrow(
-        decode, "doc_id long, ids array<int>, span_starts array<int>, span_ends array<int>, decoded string"
+    return tokens.select(*columns).transform(
+        mapped, decode, "doc_id long, ids array<int>, span_starts array<int>, span_ends array<int>, decoded string"
     )
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import chunks
+from passagework.llm.common import chunks, mapped
 from passagework.llm.passages import BYTES, compared, rows_with_ranges, stretches
 from passagework.llm.phrases import found_rows
 
@@ -232,6 +232,6 @@ def remove_repeated_strings(docs: DataFrame, window: int = 100) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return rows_with_ranges(docs, repeated_strings(docs, window)).select("doc_id", "text", "gone").mapInArrow(
-        strike, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    return rows_with_ranges(docs, repeated_strings(docs, window)).select("doc_id", "text", "gone").transform(
+        mapped, strike, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm.common import chunks, prefix_sums
+from passagework.llm.common import chunks, mapped, prefix_sums
 from passagework.session import materialise
 
 #: Encoded chunks that a Python worker remembers (about 200 bytes each); frequent words come early.
@@ -97,7 +97,7 @@ def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> Data
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lens), ids], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>")
+    return docs.select("doc_id", "text").transform(mapped, encode, "doc_id long, n_tokens long, ids array<int>")
 
 
 def write_tokens(tokens: DataFrame, path: str, *, row_group_bytes: int = 16 << 20, page_rows: int = 256, delta: bool = False) -> None:
@@ -152,7 +152,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_crc32"],
             )
 
-    digests = spark.read.parquet(path).select("doc_id", "ids").mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long")
+    digests = spark.read.parquet(path).select("doc_id", "ids").transform(mapped, digest, "doc_id long, n_tokens long, ids_crc32 long")
     narrow = digests.withColumn("row", F.monotonically_increasing_id())
     summed = prefix_sums(materialise(narrow), ["doc_id", "row"], {"start": "n_tokens"})
     return summed.select("doc_id", "start", "n_tokens", "ids_crc32")
