@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -80,3 +81,25 @@ def prefix_sums(rows: DataFrame, order: list[str], sums: dict[str, str]) -> Data
             *[f"total_{n}" for n in sums],
         )
     )
+
+
+def group_ranks(rows: DataFrame, group: list[str], order: list[str], groups: DataFrame) -> DataFrame:
+    """Join `groups`, one row for each value of `group` (none null), to `rows`, and add `rank`: the row's number from 0 within its group.
+
+    Rows are dealt into ranges, so that a group of any size spreads over as many tasks as it has ranges; each range counts
+    its rows of each group, and only those counts are added up per group. Rows that agree in `order` are numbered in any order.
+    """
+    keys = [*group, *order]
+    spread = f"_spread_{uuid.uuid4().hex}"  # equal rows too may fall into several ranges
+    dealt = materialise(
+        rows.withColumn(spread, F.monotonically_increasing_id()).repartitionByRange(*keys, spread).withColumn("part", F.spark_partition_id())
+    )
+    pieces = dealt.groupBy("part", *group).agg(F.count("*").alias("held"))
+    earlier = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0))).drop("held").join(groups, group)
+    inside = F.row_number().over(Window.partitionBy("part", *group).orderBy(*order, spread))
+    numbered = dealt.withColumn("inside", inside)
+    return (
+        numbered.join(placed, ["part", *group])
+        .withColumn("rank", F.col("before") + F.col("inside") - 1).drop("part", "inside", "before", spread)
+    )

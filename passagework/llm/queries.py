@@ -15,14 +15,17 @@ from passagework.llm.embeddings import near_vectors
 from passagework.llm.jaccard import similar_documents
 from passagework.llm.language import fit as fit_languages
 from passagework.llm.language import held_out, identify
+from passagework.llm.mixing import mix_sources
 from passagework.llm.personal_data import find_personal_data
 from passagework.llm.personal_data import fit as fit_personal_data
 from passagework.llm.phrases import remove_repeated_phrases
 from passagework.llm.pieces import encode_pieces, piece_digests
+from passagework.llm.repair import damage, repair_digests
 from passagework.llm.sharding import shard_documents
+from passagework.llm.spelling import spelling_variants, word_counts
 from passagework.llm.suffixes import remove_repeated_strings
 from passagework.llm.token_files import token_digests, write_documents
-from passagework.session import shared_folder
+from passagework.session import materialise, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,3 +220,101 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
   CAST(NULL AS INTEGER) AS grown_shard, byte_start
 FROM placed
 """
+
+
+@registered
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return repair_digests(given, damage(given))
+
+
+#: DuckDB: the table of crc32, and the crc32 of the bytes of a hexadecimal string `h`.
+CRC_TABLE = """
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c
+    FROM (SELECT unnest(range(256)) AS i) x) y
+"""
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: CAST('0x' || substr(h, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+ORACLES["op11_conversation_repair"] = f"""
+WITH RECURSIVE codes AS ({CRC_TABLE}), given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations
+), hit AS (SELECT conv_id, turn, role, text, {CRC} % 20 AS f FROM given, codes
+), damaged AS (
+  SELECT conv_id, coalesce('=' || conv_id, '') AS k, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+    CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS again
+  FROM hit WHERE f <> 0
+), numbered AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS told, left(role, 1) AS init,
+    row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), seen AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 AS again2 FROM numbered
+), faulty AS (
+  SELECT k, turn, role, text, init, i, told = '' AS blank, told <> '' AND again2 AS dup,
+    told <> '' AND NOT again2 AND right(told, 1) NOT IN ('.', '!', '?') AS cut, lag(init) OVER (PARTITION BY k ORDER BY i) || init AS pair FROM seen
+), counts AS (
+  SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (dup) AS dup, count(*) FILTER (cut) AS cut, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY k
+), chain(q, q1, cost, letters, lines) AS (
+  VALUES ('0', '0', 0, '', ''), ('s', 's', 0, '', ''), ('u', 'u', 0, '', ''), ('a', 'a', 0, '', ''),
+    ('0', 'u', 2, 'I', chr(10) || 'user:'), ('s', 'u', 2, 'I', chr(10) || 'user:'), ('a', 'u', 2, 'I', chr(10) || 'user:'), ('u', 'a', 2, 'I', chr(10) || 'assistant:'),
+    ('0', 'a', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('s', 'a', 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+), act(letter, q, init, q2, cost, role) AS (
+  VALUES ('D', '0', NULL, '0', 3, NULL), ('D', 's', NULL, 's', 3, NULL), ('D', 'u', NULL, 'u', 3, NULL), ('D', 'a', NULL, 'a', 3, NULL),
+    ('K', '0', 's', 's', 0, NULL), ('K', '0', 'u', 'u', 0, NULL), ('K', 's', 'u', 'u', 0, NULL), ('K', 'a', 'u', 'u', 0, NULL), ('K', 'u', 'a', 'a', 0, NULL),
+    ('R', '0', NULL, 'u', 2, 'user'), ('R', 's', NULL, 'u', 2, 'user'), ('R', 'a', NULL, 'u', 2, 'user'), ('R', 'u', NULL, 'a', 2, 'assistant')
+), way AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, '0' AS q, {{'c': 0, 'a': '', 'r': ''}} AS best FROM counts
+  UNION ALL
+  SELECT w.k, w.i + 1, act.q2, min({{'c': w.best.c + chain.cost + act.cost + CASE WHEN act.letter <> 'D' AND f.cut THEN 1 ELSE 0 END,
+    'a': w.best.a || chain.letters || act.letter,
+    'r': w.best.r || chain.lines || CASE WHEN act.letter = 'D' THEN '' ELSE chr(10) || coalesce(act.role, f.role) || ':' || f.text END}})
+  FROM way w JOIN faulty f ON f.k = w.k AND f.i = w.i + 1 JOIN chain ON chain.q = w.q JOIN act ON act.q = chain.q1
+  WHERE act.letter = 'D' OR (NOT f.blank AND NOT f.dup AND (act.letter = 'R' OR act.init = f.init))
+  GROUP BY w.k, w.i, act.q2
+), done AS (
+  SELECT w.k, min({{'c': w.best.c + chain.cost, 'a': w.best.a || chain.letters, 'r': w.best.r || chain.lines}}) AS best
+  FROM way w JOIN counts n ON n.k = w.k AND n.n = w.i JOIN chain ON chain.q = w.q WHERE chain.q1 IN ('0', 'a') GROUP BY w.k
+)
+SELECT g.conv_id, CAST(coalesce(n.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(n.blank, 0) AS BIGINT) AS blank, CAST(coalesce(n.dup, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(n.cut, 0) AS BIGINT) AS truncated, CAST(coalesce(n.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(d.best.c, 0) AS BIGINT) AS cost,
+  coalesce(d.best.a, '') AS audit, sha256(coalesce(substr(d.best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS k FROM conversations) g LEFT JOIN counts n USING (k) LEFT JOIN done d USING (k)
+"""
+
+
+@registered
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@registered
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(table(spark, sf_dir, "documents"), drop_every=199)
+    return spelling_variants(materialise(words.where("n >= 5"))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLES["op13_spelling_variants"] = rf"""
+WITH RECURSIVE codes AS ({CRC_TABLE}), run AS (
+  SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+    FROM documents) x WHERE length(run) >= 6 GROUP BY doc_id, run
+), coded AS (SELECT run, n, {CRC} AS c, length(run) AS len FROM run, codes
+), said AS (SELECT n, CASE WHEN c % 199 = 0 THEN left(run, CAST(c % len AS BIGINT)) || substr(run, CAST(c % len + 2 AS BIGINT)) ELSE run END AS word FROM coded
+), words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM said WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), short AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words) x
+), met AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM short a JOIN short b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT b.word, a.word, a.n FROM short a JOIN words b ON a.rest = b.word
+  UNION SELECT a.word, b.word, b.n FROM short a JOIN words b ON a.rest = b.word
+), best AS (SELECT word, count(*) AS n_near, min({{'m': -m, 'other': other}}) AS top FROM met GROUP BY word
+), told AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.m >= 5 * w.n THEN top.other END AS form, CASE WHEN -top.m >= 5 * w.n THEN -top.m END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS here, 0 AS steps FROM told UNION ALL SELECT walk.word, told.form, steps + 1 FROM walk JOIN told ON told.word = walk.here WHERE told.form IS NOT NULL
+), root AS (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM told JOIN root USING (word)
+"""
