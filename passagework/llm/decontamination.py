@@ -18,8 +18,8 @@ from passagework.session import materialise
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of digits, small ASCII letters and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same on text whose letters are as they were.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Term of the one posting per document that stands before its first word and holds its doc_id and number of words.
+START = ""
 
 
 def words(text: str = "text"):
@@ -43,11 +43,29 @@ def item_terms(items: DataFrame) -> DataFrame:
 
 
 def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Stored postings (term, key, pos) of every document; of the terms in `vocabulary` (term), where it is given."""
-    found = docs.select(row_key(docs).alias("key"), F.posexplode(words()).alias("pos", "term"))
+    """Stored postings (term, key, pos) of every document; of the terms in `vocabulary` (term), where it is given.
+
+    Each document also has the posting START at -1 with its doc_id and n_words, so its text is read once only.
+    """
+    named = docs.select(row_key(docs).alias("key"), "doc_id", F.concat(F.array(F.lit(START)), words()).alias("words"))
+    # The outer form: the plain one makes the optimizer take the words twice.
+    found = named.select("key", "doc_id", (F.size("words") - 1).cast("long").alias("n_words"), F.posexplode_outer("words").alias("at", "term"))
     if vocabulary is not None:
-        found = found.join(vocabulary, "term", "left_semi")
-    return materialise(found.select("term", "key", "pos"))
+        found = found.join(vocabulary.select("term").union(docs.sparkSession.createDataFrame([(START,)], "term string")), "term", "left_semi")
+    first = F.col("at") == 0
+    return materialise(
+        found.select("term", "key", (F.col("at") - 1).alias("pos"), F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("n_words")).alias("n_words"))
+    )
+
+
+def posted_terms(postings: DataFrame) -> DataFrame:
+    """(term, key, pos) of the words of stored postings."""
+    return postings.where(F.col("pos") >= 0).select("term", "key", "pos")
+
+
+def posted_documents(postings: DataFrame) -> DataFrame:
+    """(doc_id, key, n_words) of every document row of stored postings."""
+    return postings.where(F.col("pos") < 0).select("doc_id", "key", "n_words")
 
 
 def alignments(postings: DataFrame, terms: DataFrame, window: int, missing: int = 0) -> DataFrame:
@@ -82,14 +100,21 @@ def alignments(postings: DataFrame, terms: DataFrame, window: int, missing: int
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10, near: int | None = None) -> DataFrame:
+    """`matches` of documents whose postings are not stored yet."""
+    terms = materialise(item_terms(items))
+    return matches(build_postings(docs, terms.select("term").distinct()), terms, window, near)
+
+
+def matches(stored: DataFrame, terms: DataFrame, window: int = 10, near: int | None = None) -> DataFrame:
     """(key, item_id, first_pos, last_pos, exact): where a document holds `window` consecutive words of an item.
 
+    stored: postings (`build_postings`); terms: the items' words (`item_terms`).
+
     Overlapping windows of one alignment are one row. An item of fewer words is matched whole. With `near`, rows with
     exact = false are added: alignments without an exact phrase in which one window has at least `near` words in place.
     """
-    terms = materialise(item_terms(items))
     names = terms.select("item", "item_id").distinct()
-    postings = build_postings(docs, terms.select("term").distinct())
+    postings = posted_terms(stored)
     places = materialise(alignments(postings, terms, window, 0 if near is None else max(0, window - near)))
     expected = places.join(terms, "item").select("item", "key", "shift", "n", "at", "term", (F.col("shift") + F.col("at")).alias("pos"))
     agreed = expected.join(postings, ["key", "pos", "term"]).select("item", "key", "shift", "n", "at").distinct()
@@ -120,7 +145,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     stands on several rows is one item with all their windows; an item without id hits words but isn't named; repeated document rows each get their result; empty
     tables give no rows or no hits; further columns are not read.
     """
-    found = materialise(phrase_matches(docs, items, window).select("key", "item_id", "first_pos", "last_pos"))
+    terms = materialise(item_terms(items))
+    stored = build_postings(docs, terms.select("term").distinct())
+    found = materialise(matches(stored, terms, window).select("key", "item_id", "first_pos", "last_pos"))
     hit = (
         found.select("key", F.explode(F.sequence("first_pos", "last_pos")).alias("pos")).distinct()
         .groupBy("key").agg(F.count("*").alias("n_hit"))
@@ -129,7 +156,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
         found.select("key", F.col("item_id").cast("string").alias("item")).distinct()
         .groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
     )
-    rows = docs.select("doc_id", row_key(docs).alias("key"), F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(RAW_WORD)).cast("long").alias("n_words"))
+    rows = posted_documents(stored)
     return (
         rows.join(hit, "key", "left").join(held, "key", "left")
         .select(
