@@ -7,7 +7,6 @@ that one is farther away than documents of its language are.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +22,15 @@ DIMENSIONS = 4096
 #: Rows expanded to dense vectors at once.
 ROWS = 256
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII that is no letter separates words.
 SEPARATED = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter; figures such as superscripts, fractions and numerals are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def grams(text: str) -> np.ndarray:
     """Hashed codes of the text's n-grams of two and three bytes."""
     raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(SEPARATED) + b" ", dtype=np.uint8).astype(np.uint32)
@@ -58,7 +61,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, cosine to its nearest centroid, and whether it is rejected."""
-        known = np.array([bool(self.languages and t and LETTER.search(t)) for t in texts])
+        known = np.array([bool(self.languages) and has_letter(t) for t in texts], dtype=bool)
         names, scores, rejected = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
         at = np.flatnonzero(known)
         for s in range(0, len(at), ROWS):
@@ -85,11 +88,16 @@ def cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(labelled: DataFrame, *, per_language: int = 200, max_languages: int = 32, clusters: int = 4, slack: float = 0.3) -> Model:
-    """Fit from the text and lang of `labelled`; rows without either are left out.
+#: Tasks among which the rows of one language are dealt when its sample is chosen.
+SALTS = 32
+
+
+def fit(labelled: DataFrame, *, per_language: int = 200, sample_rows: int = 6_400, clusters: int = 4, slack: float = 0.3) -> Model:
+    """Fit from the text and lang of `labelled`; rows without either are left out. Every language is learned.
 
-    Document frequencies count all rows. Centroids are fitted on a bounded sample: the `per_language` rows of least
-    hash of each of the `max_languages` most frequent languages. A centroid accepts cosines down to `slack` times
+    Document frequencies count all rows. Centroids are fitted on a bounded sample, the rows of least hash of each
+    language: `per_language` of each, or, with many languages, as many as make up `sample_rows` in all (`clusters` of
+    each at least). A centroid accepts cosines down to `slack` times
     the least that a sampled row of its language has to its own nearest centroid.
     """
     rows = labelled.select("lang", "text").where("lang is not null and text is not null")
@@ -108,14 +116,17 @@ def fit(labelled: DataFrame, *, per_language: int = 200, max_languages: int = 32
         counts[r.gram] = r.held
     idf = (np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1).astype(np.float32)
 
-    # The sample is chosen on hashes alone; only its own texts travel.
+    # The sample is chosen on hashes alone; only its own texts travel. A language that most rows have is first cut in parts.
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    order = Window.partitionBy("lang").orderBy("h")
-    cut = (
-        hashed.select("lang", "h").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-        .groupBy("lang").agg(F.max("h").alias("cut")).join(F.broadcast(common), "lang")
+    languages = rows.select("lang").distinct().count()
+    each = max(clusters, min(per_language, sample_rows // max(1, languages)))
+    part = Window.partitionBy("lang", "salt").orderBy("h")
+    least = (
+        hashed.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt")).distinct()
+        .withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= each)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each)
     )
+    cut = least.groupBy("lang").agg(F.max("h").alias("cut"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -124,19 +135,19 @@ def fit(labelled: DataFrame, *, per_language: int = 200, max_languages: int = 32
                 made = [v.tobytes() for v in vectors(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(made, pa.binary())], ["lang", "h", "v"])
 
-    picked = hashed.join(F.broadcast(cut), "lang").where("h <= cut").dropDuplicates(["lang", "h"]).select("lang", "h", "text")
+    picked = hashed.join(cut, "lang").where("h <= cut").dropDuplicates(["lang", "h"]).select("lang", "h", "text")
     held: dict[str, list[tuple[int, bytes]]] = {}
     for r in picked.transform(mapped, sample, "lang string, h long, v binary").collect():  # bounded by the sample
         held.setdefault(r.lang, []).append((r.h, bytes(r.v)))
-    centroids, languages, nearest = [], [], []
+    centroids, named, nearest = [], [], []
     for lang in sorted(held):
         own = unit(np.frombuffer(b"".join(v for _, v in sorted(held[lang])), dtype=np.float32).reshape(-1, DIMENSIONS) * idf)
         centres = cluster(own, clusters)
         least = float((own @ centres.T).max(1).min()) * slack
         centroids.append(centres)
-        languages += [lang] * len(centres)
+        named += [lang] * len(centres)
         nearest += [least] * len(centres)
-    return Model(idf, np.concatenate(centroids) if centroids else np.zeros((0, DIMENSIONS), np.float32), languages, np.array(nearest))
+    return Model(idf, np.concatenate(centroids) if centroids else np.zeros((0, DIMENSIONS), np.float32), named, np.array(nearest))
 
 
 def held_out(folds: int = 5):

@@ -15,7 +15,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.llm.common import chunks, mapped
@@ -305,8 +305,13 @@ def _rewritten(text: str, spans: list[Span]) -> tuple[str, list[Span]] | None:
     return None if made == text else (made, moved)
 
 
-def fit(docs: DataFrame, sample: int = 400) -> Field:
-    """Train on a bounded sample: `sample` stretches with pattern matches and as many without, those of least hash."""
+#: Tasks among which the stretches of one class are dealt when the sample is chosen.
+SALTS = 32
+
+
+def fit(docs: DataFrame, sample: int = 400, longest: int = 400) -> Field:
+    """Train on a bounded sample: `sample` distinct stretches with pattern matches and as many without, those of least
+    hash among the stretches of at most `longest` characters. Finding knows no such bound."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -314,15 +319,19 @@ def fit(docs: DataFrame, sample: int = 400) -> Field:
             for t in b.column("text").to_pylist():
                 if t:
                     for s, e in stretches(t):
-                        if e - s <= 400:
+                        if e - s <= longest:
                             made[t[s:e]] = bool(base_spans(t[s:e]))
             yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array(list(made.values()), pa.bool_())], ["text", "held"])
 
-    cuts = docs.select("text").transform(mapped, cut, "text string, held boolean").distinct()
-    order = F.xxhash64("text")
-    picked = [cuts.where(F.col("held") == held).orderBy(order, "text").limit(sample) for held in (True, False)]
+    cuts = docs.select("text").transform(mapped, cut, "text string, held boolean").distinct().withColumn("h", F.xxhash64("text"))
+    order = ["h", "text"]
+    least = (
+        cuts.withColumn("rank", F.row_number().over(Window.partitionBy("held", F.pmod("h", F.lit(SALTS))).orderBy(*order)))
+        .where(F.col("rank") <= sample)
+        .withColumn("rank", F.row_number().over(Window.partitionBy("held").orderBy(*order))).where(F.col("rank") <= sample)
+    )
     examples = []
-    for r in picked[0].unionByName(picked[1]).orderBy(order, "text").collect():  # at most 2 * sample short texts
+    for r in least.orderBy(*order).collect():  # at most 2 * sample short texts
         spans = base_spans(r.text)
         if any(x[2] > y[1] for x, y in zip(spans, spans[1:], strict=False)):
             continue  # two kinds overlap: no segmentation has both
