@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
@@ -50,7 +50,8 @@ def infer_pending(
     kept = outcome(
         tagged.filter(known.isNotNull()), F.when(known == "passthrough", F.col("_text")), known, nothing
     )
-    foreign = tagged.filter(known.isNull() & (F.col("language") != target)).select("passage_id", "language", F.col("_text").alias("text"))
+    # A passage of unknown language is pending like one of another language.
+    foreign = tagged.filter(known.isNull()).select("passage_id", "language", F.col("_text").alias("text"))
     if available:
         kind = dict(foreign.dtypes)["passage_id"]
         # Written once: the function is called once per pending row, whatever reads its results.
@@ -74,6 +75,29 @@ def infer_pending(
     )
 
 
+def in_shards(
+    rows: DataFrame, key: str, folder: str, job: Callable[[DataFrame], DataFrame], *, shards: int = 64
+) -> DataFrame:
+    """Run `job` on the rows shard by shard and read all results; a run that broke repeats only what it hadn't committed.
+
+    Rows belong to shards by a hash of `key`, so every run deals them alike. A shard is committed when its own folder
+    under `folder` is written whole (Spark's `_SUCCESS` file); the folders are the ledger. One folder serves one input
+    and one job: give new rows a new one.
+    """
+    spark = rows.sparkSession
+    paths = [f"{folder}/shards-{shards}/shard-{k:05d}" for k in range(shards)]
+    for k, path in enumerate(paths):
+        if not committed(spark, path):
+            job(rows.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(shards)) == k)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(*paths)
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written `path` to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def storable(outcomes: DataFrame) -> DataFrame:
     """The rows to upsert by (passage_id, language, translator_name)."""
     return outcomes.filter(F.col("status") == "fresh").select(

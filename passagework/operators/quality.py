@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 from passagework.functions import vocab as V
+from passagework.session import materialise
 
 
 def published_passages(
@@ -144,6 +147,83 @@ def restricted_deletes(child: DataFrame, deleted: DataFrame, child_key: str, par
     )
 
 
+@dataclass(frozen=True)
+class ForeignKey:
+    """`child.column` names a row of `parent` by `key`; `rule` says what its deletion does: cascade, set_null or restrict."""
+
+    child: str
+    column: str
+    parent: str
+    key: str
+    rule: str
+
+
+def delete_order(keys: Sequence[ForeignKey], root: str) -> list[str]:
+    """Tables reached from `root` by cascades, every parent before its children."""
+    reached, open_ = {root}, [root]
+    while open_:
+        table = open_.pop()
+        for k in keys:
+            if k.parent == table and k.rule == "cascade" and k.child not in reached:
+                reached.add(k.child)
+                open_.append(k.child)
+    order: list[str] = []
+    waiting = set(reached)
+    while waiting:
+        ready = sorted(t for t in waiting if not any(k.child == t and k.parent in waiting and k.rule == "cascade" for k in keys))
+        if not ready:
+            raise ValueError(f"cascades run in a circle: {sorted(waiting)}")
+        order += ready
+        waiting -= set(ready)
+    return order
+
+
+def delete_rows(
+    tables: dict[str, DataFrame], ids: dict[str, str], keys: Sequence[ForeignKey], root: str, wanted: DataFrame
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Delete the rows of `root` whose id is in `wanted`, with what the foreign keys ask for; returns the tables and refused ids.
+
+    ids: the unique id column of each table. Cascades follow over all levels. A row that a restricting child names, anywhere
+    below an asked row, refuses that asked row and with it all that only its deletion would take. A child that
+    survives has its set_null columns emptied where they name a deleted row. Tables are walked in the order of their
+    cascades, one join a foreign key.
+    """
+    order = delete_order(keys, root)
+    # Per table, the rows that go and the asked row each goes with.
+    asked = wanted.select(F.col(ids[root]).alias("root")).distinct()
+    doomed = {root: materialise(tables[root].select(F.col(ids[root]).alias("id")).join(asked, F.col("id") == F.col("root")))}
+
+    def named(k: ForeignKey) -> DataFrame:
+        """(value of the key, root) of the doomed rows of a parent."""
+        rows = doomed[k.parent]
+        if k.key == ids[k.parent]:
+            return rows.select(F.col("id").alias("value"), "root")
+        return rows.join(tables[k.parent].select(F.col(ids[k.parent]).alias("id"), F.col(k.key).alias("value")), "id").select("value", "root").distinct()
+
+    for table in order[1:]:
+        parts = [
+            tables[table].select(F.col(ids[table]).alias("id"), F.col(k.column).alias("value")).join(named(k), "value").select("id", "root")
+            for k in keys if k.child == table and k.rule == "cascade" and k.parent in doomed
+        ]
+        doomed[table] = materialise(reduce(DataFrame.unionByName, parts).distinct())
+    refused = [
+        named(k).join(tables[k.child].select(F.col(k.column).alias("value")).distinct(), "value", "left_semi").select("root")
+        for k in keys if k.rule == "restrict" and k.parent in doomed
+    ]
+    stopped = materialise(reduce(DataFrame.unionByName, refused).distinct()) if refused else asked.limit(0)
+    doomed = {t: d.join(stopped, "root", "left_anti").select("id", "root") for t, d in doomed.items()}
+    out = dict(tables)
+    for k in keys:
+        if k.rule == "set_null" and k.parent in doomed:
+            gone = named(k).select(F.col("value").alias(k.column), F.lit(True).alias("_gone")).distinct()
+            columns = out[k.child].columns
+            emptied = out[k.child].join(gone, k.column, "left").withColumn(k.column, F.when(F.col("_gone").isNull(), F.col(k.column)))
+            out[k.child] = emptied.select(*columns)
+    for t, d in doomed.items():
+        out[t] = out[t].join(d.select(F.col("id").alias(ids[t])).distinct(), ids[t], "left_anti").select(*out[t].columns)
+    return out, stopped.select(F.col("root").alias(ids[root]))
+
+
 def apply_corrections(passages: DataFrame, corrections: DataFrame) -> DataFrame:
     """Latest correction per passage becomes `verified_text`; raw text stays.
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 from passagework.operators.tables import bounded
-from passagework.session import materialise
 
 STRUCTURAL_WEIGHTS = {"structural": 1.5, "sparse": 1.0, "dense": 1.0}
 RRF_K = 60
@@ -96,264 +95,6 @@ def structural_search(
     ).select("query_id", "passage_id", "work_slug", "work_rank", "rank")
 
 
-# --------------------------------------------------------------------------
-# Lexical
-# --------------------------------------------------------------------------
-
-def search_tokens(matching: Column | str, *, stem: bool = False) -> Column:
-    """Lower-case letter and digit runs of a matching form."""
-    c = F.col(matching) if isinstance(matching, str) else matching
-    tokens = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    if not stem:
-        return tokens
-    prefix = rf"^(?:{'|'.join(T.V.CLITICS)})(?=.{{3,}})"
-    return F.transform(tokens, lambda w: F.regexp_replace(w, prefix, ""))
-
-
-def index_passages(passages: DataFrame, text: str = "raw_text", *, stem: bool = False) -> DataFrame:
-    """passage_id, work_slug, tokens, n_tokens: the input of every lexical search.
-
-    It is written once per corpus; the searches below read nothing else, and each
-    of their branches reads only the columns it needs.
-    """
-    return materialise(
-        passages.select(
-            "passage_id", "work_slug", search_tokens(T.matching_form(text), stem=stem).alias("tokens")
-        ).withColumn("n_tokens", F.size("tokens"))
-    )
-
-
-def postings(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """term, passage_id, tf. A vocabulary (column `term`) limits the terms kept."""
-    terms = T.unnest(index, ["passage_id"], "tokens", "term")
-    if vocabulary is not None:
-        terms = terms.join(bounded(vocabulary.select("term").distinct(), 50_000), "term", "left_semi")
-    return terms.groupBy("passage_id", "term").agg(F.count("*").alias("tf"))
-
-
-#: Folders of a stored postings table, by hash of the term.
-POSTING_BUCKETS = 64
-
-
-def _bucket(term: str = "term") -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
-
-
-def build_postings(index: DataFrame) -> DataFrame:
-    """Stored postings of a corpus: term, passage_id, tf, work_slug, n_tokens in folders by hash of the term.
-
-    Written once per corpus; a batch of searches reads only the folders of its own terms.
-    """
-    facts = index.select("passage_id", "work_slug", "n_tokens")
-    return materialise(postings(index).join(facts, "passage_id").withColumn("bucket", _bucket()), ("bucket",))
-
-
-def _read_postings(index: DataFrame, posts: DataFrame | None, vocabulary: DataFrame) -> DataFrame:
-    """Postings of the vocabulary, from the stored table or else from the index."""
-    if posts is None:
-        return postings(index, vocabulary).join(index.select("passage_id", "work_slug", "n_tokens"), "passage_id")
-    asked = [r.bucket for r in vocabulary.select(_bucket().alias("bucket")).distinct().collect()]  # POSTING_BUCKETS at most
-    kept = posts.filter(F.col("bucket").isin(asked)).drop("bucket")
-    return kept.join(bounded(vocabulary.select("term").distinct(), 50_000), "term", "left_semi")
-
-
-def parse_search(queries: DataFrame, text: str = "text", *, stem: bool = False) -> DataFrame:
-    """One row per OR branch: required terms, phrases and excluded terms.
-
-    Words are all required, "..." is a phrase, - excludes, OR separates branches.
-    """
-    branch, item_mark = "\x01", "\x02"
-    items = F.regexp_extract_all(T.matching_form(text), F.lit(r'-?"[^"]*"|[^ ]+'), F.lit(0))
-    marked = F.array_join(
-        F.transform(items, lambda i: F.when(F.lower(i) == "or", branch).otherwise(i)), item_mark
-    )
-    out = T.unnest(queries, ["query_id"], F.split(marked, branch), "_branch", "branch")
-    parts = F.filter(F.split("_branch", item_mark), lambda i: i != "")
-    out = out.withColumn("_parts", parts)
-
-    def tokens_of(keep) -> Column:
-        return F.array_distinct(
-            F.flatten(F.transform(F.filter("_parts", keep), lambda i: search_tokens(i, stem=stem)))
-        )
-
-    phrases = F.filter(
-        F.transform(
-            F.filter("_parts", lambda i: i.startswith('"')),
-            lambda i: F.array_join(search_tokens(i, stem=stem), " "),
-        ),
-        lambda p: F.contains(p, F.lit(" ")),
-    )
-    return out.select(
-        "query_id", "branch",
-        tokens_of(lambda i: ~i.startswith("-")).alias("terms"),
-        tokens_of(lambda i: i.startswith("-")).alias("excluded"),
-        phrases.alias("phrases"),
-    ).filter(F.size("terms") > 0)
-
-
-def sparse_search(
-    queries: DataFrame,
-    index: DataFrame,
-    *,
-    text: str = "text",
-    query_refs: DataFrame | None = None,
-    alignments: DataFrame | None = None,
-    query_works: DataFrame | None = None,
-    limit: int = 100,
-    k1: float = 1.2,
-    b: float = 0.75,
-    stem: bool = False,
-    posts: DataFrame | None = None,
-) -> DataFrame:
-    """Boolean search ranked by BM25: query_id, passage_id, work_slug, score, rank.
-
-    Queries that ask for any of their words are scored in one pass that leaves out what
-    cannot reach the last place (`_any_word`). For all others, candidates come from the
-    rarest required term of each branch only, so common words never drive a join; the
-    other terms are then checked on the candidates. `posts` is the corpus's stored
-    postings table (`build_postings`); without it, postings are derived from the index.
-    """
-    every = materialise(parse_search(queries, text, stem=stem))
-    vocabulary = every.select(F.explode(F.concat("terms", "excluded")).alias("term")).distinct()
-    posted = materialise(_read_postings(index, posts, vocabulary))
-    frequency = posted.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = index.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("avg_len")).first()
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("n_tokens") / (corpus.avg_len or 1.0))
-    part = F.log(1 + (corpus.n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / norm
-    parts = posted.join(frequency, "term").select("term", "passage_id", "work_slug", part.alias("part"))
-
-    plain_word = (F.size("terms") == 1) & (F.size("excluded") == 0) & (F.size("phrases") == 0)
-    any_word = every.groupBy("query_id").agg(F.bool_and(plain_word).alias("_any")).filter("_any").select("query_id")
-    pure = every.join(any_word, "query_id").select("query_id", F.element_at("terms", 1).alias("term")).distinct()
-    branches = every.join(any_word, "query_id", "left_anti")
-
-    # The rarest term of a branch; a required term that occurs nowhere ends it.
-    known = (
-        branches.select("query_id", "branch", F.size("terms").alias("_need"), F.explode("terms").alias("term"))
-        .join(frequency, "term")
-        .groupBy("query_id", "branch")
-        .agg(
-            F.count("*").alias("_have"), F.first("_need").alias("_need"),
-            F.min_by("term", F.struct("df", "term")).alias("term"),
-        )
-        .filter(F.col("_have") == F.col("_need"))
-        .select("query_id", "branch", "term")
-    )
-    if query_refs is None:
-        hits = known.join(posted.select("term", "passage_id"), "term")
-    else:
-        # A query with ranges meets the postings of its term on its verses only.
-        places = _verses(query_refs).select("query_id", "chapter", "verse").distinct()
-        placed = posted.select("term", "passage_id").join(
-            _verses(alignments).select("passage_id", "chapter", "verse").distinct(), "passage_id"
-        )
-        ranged = (
-            known.join(places, "query_id").join(placed, ["term", "chapter", "verse"])
-            .select("query_id", "branch", "passage_id").distinct()
-        )
-        free = known.join(places.select("query_id").distinct(), "query_id", "left_anti")
-        hits = ranged.unionByName(
-            free.join(posted.select("term", "passage_id"), "term").select("query_id", "branch", "passage_id")
-        )
-    candidates = hits.join(branches, ["query_id", "branch"]).select(
-        "query_id", "branch", "passage_id", "terms", "excluded", "phrases"
-    )
-    held = posted.groupBy("passage_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("held")
-    )
-    matched = (
-        candidates.join(held, "passage_id")
-        .filter(F.forall("terms", lambda t: F.map_contains_key("held", t)))
-        .filter(~F.exists("excluded", lambda t: F.map_contains_key("held", t)))
-    )
-    plain = matched.filter(F.size("phrases") == 0).select("query_id", "passage_id")
-    phrased = (
-        matched.filter(F.size("phrases") > 0)
-        .join(index.select("passage_id", "tokens"), "passage_id")
-        .withColumn("_text", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")))
-        .filter(
-            F.forall(
-                "phrases",
-                lambda p: F.contains(F.col("_text"), F.concat(F.lit(" "), p, F.lit(" "))),
-            )
-        )
-        .select("query_id", "passage_id")
-    )
-    found = plain.unionByName(phrased).distinct()
-
-    found = with_work_filter(found.join(index.select("passage_id", "work_slug"), "passage_id"), query_works)
-
-    # Score: every positive term of the query that the passage holds.
-    wanted = branches.select("query_id", F.explode("terms").alias("term")).distinct()
-    sums = (
-        found.join(wanted, "query_id").join(parts.drop("work_slug"), ["passage_id", "term"])
-        .groupBy("query_id", "passage_id", "work_slug").agg(F.sum("part").alias("score"))
-    )
-    if query_refs is not None:
-        with_refs = places.select("query_id").distinct()
-        on_verses = (
-            pure.join(places, "query_id")
-            .join(parts.join(_verses(alignments).select("passage_id", "chapter", "verse").distinct(), "passage_id"), ["term", "chapter", "verse"])
-            .select("query_id", "term", "passage_id", "work_slug", "part").distinct()
-        )
-        ranged_sums = (
-            with_work_filter(on_verses, query_works)
-            .groupBy("query_id", "passage_id", "work_slug").agg(F.sum("part").alias("score"))
-        )
-        sums = sums.unionByName(ranged_sums)
-        pure = pure.join(with_refs, "query_id", "left_anti")
-    sums = sums.unionByName(_any_word(pure, parts, query_works, limit))
-    scored = sums.withColumn("score", F.round("score", 6))
-    return top_by(scored, ["query_id"], [F.desc("score"), "passage_id"], limit, "rank")
-
-
-#: Best-scoring terms of a query that set its first threshold.
-_SEED_TERMS = 4
-#: Scores are compared after rounding to six places.
-_ROUNDING = 1e-5
-
-
-def _any_word(wanted: DataFrame, parts: DataFrame, query_works: DataFrame | None, limit: int) -> DataFrame:
-    """Scores of the passages that may be among the best `limit` of queries for any of their words.
-
-    wanted: query_id, term. parts: term, passage_id, work_slug, part. The partial scores of a few strong terms
-    give a threshold that the last place reaches at least. Terms whose greatest parts together stay below it
-    cannot bring in a passage alone, so only postings of the other terms are followed; what they add up to, with all
-    that the weak terms could add, drops most passages before the weak terms are looked up. Exact.
-    """
-    best = parts.groupBy("term").agg(F.max("part").alias("best"))
-    weakest = Window.partitionBy("query_id").orderBy("best", "term")
-    strongest = Window.partitionBy("query_id").orderBy(F.desc("best"), "term")
-    terms = materialise(
-        wanted.join(best, "term")
-        .withColumns({"upto": F.sum("best").over(weakest), "place": F.row_number().over(strongest)})
-    )
-
-    def summed(asked: DataFrame) -> DataFrame:
-        met = with_work_filter(asked.select("query_id", "term").join(parts, "term"), query_works)
-        return met.groupBy("query_id", "passage_id", "work_slug").agg(F.sum("part").alias("score"))
-
-    seeds = top_by(summed(terms.filter(F.col("place") <= _SEED_TERMS)), ["query_id"], [F.desc("score")], limit, "seed")
-    reached = seeds.filter(F.col("seed") == limit).select("query_id", (F.col("score") - _ROUNDING).alias("least"))
-    judged = materialise(
-        terms.join(reached, "query_id", "left")
-        .withColumn("least", F.coalesce("least", F.lit(0.0))).withColumn("strong", F.col("upto") >= F.col("least"))
-    )
-    weak_sum = judged.groupBy("query_id").agg(
-        F.max("least").alias("least"), F.sum(F.when(~F.col("strong"), F.col("best")).otherwise(0.0)).alias("more")
-    )
-    kept = materialise(
-        summed(judged.filter("strong")).join(weak_sum, "query_id")
-        .filter(F.col("score") + F.col("more") >= F.col("least")).select("query_id", "passage_id", "work_slug", "score")
-    )
-    added = (
-        kept.drop("score").join(judged.filter("not strong").select("query_id", "term"), "query_id")
-        .join(parts.drop("work_slug"), ["passage_id", "term"])
-        .select("query_id", "passage_id", "work_slug", F.col("part").alias("score"))
-    )
-    return kept.unionByName(added).groupBy("query_id", "passage_id", "work_slug").agg(F.sum("score").alias("score"))
-
-
 # --------------------------------------------------------------------------
 # Vectors
 # --------------------------------------------------------------------------

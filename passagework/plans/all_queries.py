@@ -3,6 +3,7 @@
 from passagework.plans import (  # noqa: F401
     clause_queries,
     evidence_queries,
+    maintenance_queries,
     report_queries,
     retrieval_queries,
     text_queries,

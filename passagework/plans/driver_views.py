@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.operators.clauses import passages_by_verse, verse_words
+from passagework.operators.lexical import LexicalIndex, build_index, search_tokens
 from passagework.operators.quality import published_passages
-from passagework.operators.retrieval import search_tokens
 from passagework.operators.tables import bounded, id_bucket, number_within, spread
 from passagework.plans import sql_text as S
 
@@ -105,6 +105,17 @@ def with_views(body: str, *extra: tuple[str, str]) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+#: Stored indexes of this process, by the state of their tables.
+_INDEXES: dict[tuple, LexicalIndex] = {}
+
+
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of change of each file of a table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(folder)))
+
+
 class DriverCorpus:
     """Views over the driver tables, built on first use."""
 
@@ -178,6 +189,17 @@ class DriverCorpus:
     def published(self) -> DataFrame:
         return published_passages(self.passages, self.works)
 
+    @property
+    def index(self) -> LexicalIndex:
+        """The stored lexical index of the published passages.
+
+        It is built once for a state of the tables it comes from, as a corpus's index is, and searched by every later query.
+        """
+        state = (self.spark.sparkContext.applicationId, *[files_of(self.spark, f"{self.dir}/{t}.parquet") for t in ("documents", "labels")])
+        if state not in _INDEXES:
+            _INDEXES[state] = build_index(self.published, keep=True)
+        return _INDEXES[state]
+
     @cached_property
     def verses(self) -> DataFrame:
         i = F.col("item_id")
@@ -264,7 +286,7 @@ class DriverCorpus:
         """
         w, q = turn_words(), F.col("query_id") % 8
         first, second = F.element_at(w, 1), F.element_at(w, 2)
-        rest = F.concat(F.lit(" OR "), F.array_join(F.slice(w, 3, 1_000_000), " "))
+        rest = F.concat(F.lit(" OR "), F.array_join(F.slice(w, F.lit(3), F.size(w)), " "))
         text = (
             F.when((F.size(w) < 3) | ~q.isin(1, 3, 5), F.array_join(w, " OR "))
             .when(q == 1, F.concat(F.lit('"'), first, F.lit(" "), second, F.lit('"'), rest))

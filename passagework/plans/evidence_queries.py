@@ -15,7 +15,7 @@ from passagework.plans.driver_views import with_views
 from passagework.plans.registry import query
 from passagework.plans.retrieval_queries import (
     BM25, DRIVER_COMMENTARY, DRIVER_KEYWORDS, FUSION_VIEWS, OVERLAP, TOKEN_VIEWS,
-    chapters, injected, passage_index, spread_sql, two_lists,
+    chapters, injected, spread_sql, two_lists,
 )
 from passagework.functions import vocab as V
 from passagework.session import materialise
@@ -233,9 +233,8 @@ def flagship_corpus(c) -> Corpus:
         .groupBy("term").agg(F.min("work_slug").alias("work_slug"))
     )
     published = materialise(c.published)
-    index = Q.index_passages(published)
     return Corpus(
-        published=published, index=index, posts=Q.build_postings(index), alignments=c.alignments, works=named_works(c),
+        published=published, index=c.index, alignments=c.alignments, works=named_works(c),
         work_terms=bounded(terms), chapters=R.chapter_index(chapters(c)), rules=U.baseline_rules(c.spark),
         verses=c.verses, translations=c.translations,
     )

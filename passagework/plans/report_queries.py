@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from passagework.plans.driver_views import with_views
 from passagework.plans.registry import query
 from passagework.plans.retrieval_queries import _RULES, chapters, driver_rules
 from passagework.plans.text_queries import chunk_views, degenerate_views
-from passagework.session import materialise
+from passagework.session import materialise, shared_folder
 from passagework.sources import commentary as X
 
 # --------------------------------------------------------------------------
@@ -758,6 +759,32 @@ def k1(c):
     return out.select("passage_id", "status", F.md5("text").alias("text_hash"))
 
 
+_K1_UNKNOWN = """
+    SELECT passage_id, CASE WHEN passage_id % 9 <> 4 OR language = 'de' THEN language END AS language, raw_text FROM v_published"""
+
+
+@query(
+    "k1_sharded_inference",
+    with_views(
+        """SELECT passage_id, status, CASE WHEN status = 'fresh' THEN md5(upper(raw_text)) WHEN status = 'passthrough' THEN md5(raw_text) END AS text_hash
+        FROM (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM v_translation t WHERE t.passage_id = p.passage_id) THEN 'cached'
+          WHEN language = 'en' THEN 'passthrough' WHEN language = 'de' THEN 'empty'
+          WHEN d.reason IS NOT NULL THEN 'rejected' ELSE 'fresh' END AS status FROM v_partly_known p LEFT JOIN v_degenerate d ON d.doc_id = p.passage_id)""",
+        ("v_upper", "SELECT doc_id, upper(text) AS text FROM documents"), *degenerate_views("v_upper"), ("v_partly_known", _K1_UNKNOWN),
+    ),
+)
+def k1_shards(c):
+    """Outcomes of passages some of whose languages nobody knows, committed shard by shard."""
+    known = c.published.withColumn("language", F.when((F.col("passage_id") % 9 != 4) | (F.col("language") == "de"), F.col("language")))
+    passages = materialise(known.select("passage_id", "language", "raw_text"))
+    stored = materialise(c.translations)
+    out = K.in_shards(
+        passages, "passage_id", f"{shared_folder(c.spark)}/inference-{uuid.uuid4().hex}",
+        lambda part: K.infer_pending(part, stored, K.upper_case_translator, target="en", translator="upper"), shards=4,
+    )
+    return out.select("passage_id", "status", F.md5("text").alias("text_hash"))
+
+
 @query(
     "k2_embed_passages",
     with_views(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from passagework.functions import text as T
 from passagework.functions import vocab as V
 from passagework.operators import references as R
+from passagework.operators import lexical as L
 from passagework.operators import retrieval as Q
 from passagework.operators import understanding as U
 from passagework.operators.tables import bounded
@@ -459,10 +460,6 @@ def structural(c, **kwargs):
     return Q.structural_search(c.query_refs, c.alignments, c.published, **kwargs)
 
 
-def passage_index(c):
-    return Q.index_passages(c.published)
-
-
 @query("d11_structural_search", with_views(STRUCTURAL))
 def d11(c):
     return structural(c)
@@ -470,25 +467,24 @@ def d11(c):
 
 @query("d12_sparse_search", with_views(sparse_sql(STRICT), *TOKEN_VIEWS, *TURN_SEARCH))
 def d12(c):
-    return Q.sparse_search(c.turn_queries(), passage_index(c))
+    return L.search(c.turn_queries(), c.index)
 
 
 @query("d13_bm25_any_word", with_views(sparse_sql(limit=20), *TOKEN_VIEWS, *ANY_WORD))
 def d13(c):
-    index = passage_index(c)
-    return Q.sparse_search(c.any_word_queries(), index, limit=20, posts=Q.build_postings(index))
+    return L.search(c.any_word_queries(), c.index, limit=20)
 
 
 _COSINE = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6)"
 
 
-@query(
-    "d14_dense_search",
-    f"""SELECT query_id, passage_id, similarity, CAST(rnk AS INT) AS rank FROM (
+D14_SQL = f"""SELECT query_id, passage_id, similarity, CAST(rnk AS INT) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, passage_id) AS rnk FROM (
         SELECT q.vec_id AS query_id, p.vec_id AS passage_id, {_COSINE} AS similarity FROM embeddings q, embeddings p) x) y
-    WHERE rnk <= 10""",
-)
+    WHERE rnk <= 10"""
+
+
+@query("d14_dense_search", D14_SQL)
 def d14(c):
     e = c.table("embeddings")
     return Q.dense_search(
@@ -532,7 +528,7 @@ def spread_sql(fused: str, per_work: int, limit: int) -> str:
 def two_lists(c):
     return {
         "structural": structural(c),
-        "sparse": materialise(Q.sparse_search(c.turn_queries(), passage_index(c))),
+        "sparse": materialise(L.search(c.turn_queries(), c.index)),
     }
 
 
@@ -613,8 +609,8 @@ def d18(c):
         "query_id",
         F.array(*[F.concat(F.lit("src"), (q % m).cast("string")) for m in (20, 7)]).alias("works"),
     )
-    return Q.sparse_search(
-        c.any_word_queries(), passage_index(c),
+    return L.search(
+        c.any_word_queries(), c.index,
         query_refs=c.query_refs, alignments=c.alignments, query_works=works,
     )
 

@@ -58,13 +58,13 @@ def _local_folder() -> str:
     return folder
 
 
-def materialise(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, partition_by: tuple[str, ...] = (), *, keep: bool = False) -> DataFrame:
     """Write `df` to the shared folder, in folders of `partition_by`, and read it back.
 
     Used where several branches of a job need the same costly table: it is
     computed once, survives lost executors, and each branch reads only its columns.
     The shuffle files of the write are freed with it, so a job of several such steps
-    holds the files of one step at a time.
+    holds the files of one step at a time. `release_tables` deletes the table unless it is to `keep`.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     spark = df.sparkSession
@@ -74,7 +74,8 @@ def materialise(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         df.write.partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
-    _WRITTEN.append(path)
+    if not keep:
+        _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

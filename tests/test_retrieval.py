@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from passagework.operators import lexical as L
 from passagework.operators import retrieval as Q
 
 random.seed(7)
@@ -19,7 +20,7 @@ PLACES = [(i, 1 + i % 2, 1 + i % 4, 1 + i % 4 + i % 3) for i in range(60)] + [(5
 def tables(spark):
     passages = spark.createDataFrame(DOCS, "passage_id int, work_slug string, sequence_index int, raw_text string")
     places = spark.createDataFrame(PLACES, "passage_id int, chapter int, verse_start int, verse_end int")
-    return passages, places, Q.index_passages(passages)
+    return passages, places, L.build_index(passages)
 
 
 def test_structural_equals_brute_force(spark, tables):
@@ -65,7 +66,7 @@ def test_sparse_equals_brute_force(spark, tables, ranged):
             "query_refs": spark.createDataFrame([(k, *v) for k, v in refs.items()], "query_id int, chapter int, verse_start int, verse_end int"),
             "alignments": places,
         }
-    got = {(r.query_id, r.passage_id): (r.score, r["rank"]) for r in Q.sparse_search(queries, index, limit=7, **kwargs).collect()}
+    got = {(r.query_id, r.passage_id): (r.score, r["rank"]) for r in L.search(queries, index, limit=7, **kwargs).collect()}
     tokens = {d[0]: d[3].split() for d in DOCS}
     avg = sum(map(len, tokens.values())) / len(tokens)
     want = {}
@@ -140,8 +141,7 @@ def test_any_word_search_is_exact_and_reads_stored_postings(spark):
     words = [f"w{i}" for i in range(40)]
     texts = [(i, f"k{i % 3}", " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(40)], k=rng.randint(3, 40)))) for i in range(300)]
     passages = spark.createDataFrame(texts, "passage_id int, work_slug string, raw_text string")
-    index = Q.index_passages(passages)
-    posts = Q.build_postings(index)
+    index = L.build_index(passages)
     asked = [(q, " OR ".join(rng.sample(words, 12))) for q in range(20)]
     queries = spark.createDataFrame(asked, "query_id int, text string")
     held = {i: t.split() for i, _, t in texts}
@@ -155,12 +155,12 @@ def test_any_word_search_is_exact_and_reads_stored_postings(spark):
             for w in set(q.split(" OR ")) if w in t
         )
 
-    for stored in (None, posts):
+    for stored in (index, L.build_index(passages, shard_rows=40)):
         got = {}
-        for r in Q.sparse_search(queries, index, limit=15, posts=stored).collect():
+        for r in L.search(queries, stored, limit=15).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.passage_id, r.score))
         for q, text in asked:
             best = sorted((-round(score(text, i), 6), i) for i in held if score(text, i) > 0)[:15]
             assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in best]
-    read = Q.sparse_search(queries.limit(1), index, posts=posts)
-    assert read.count() and "bucket" in posts.columns
+    one = L.search(queries.limit(1), index)
+    assert one.count() and "bucket" in index.segments[0].postings.columns
