@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 from passagework.operators.tables import bounded
+from passagework.session import materialise
 
 STRUCTURAL_WEIGHTS = {"structural": 1.5, "sparse": 1.0, "dense": 1.0}
 RRF_K = 60
@@ -452,3 +453,59 @@ def trigram_matches(
         .withColumn("edit_distance", F.levenshtein("_name", "_name_r"))
         .select("left_id", "right_id", "similarity", "edit_distance")
     )
+
+
+#: Similarities tried one after the other, from near-equal names down.
+_STEPS = (0.8, 0.6, 0.45)
+
+
+def top_trigram_matches(
+    left: DataFrame, right: DataFrame, *, k: int, name: str = "name", threshold: float = 0.3
+) -> DataFrame:
+    """The k names of `right` most similar to each of `left`: left_id, right_id, similarity, edit_distance, rank. Exact.
+
+    left: left_id, name. right: right_id, name. Equal similarities rank by right_id. A name of n grams meets others of
+    similarity t through n - ceil(n t) + 1 of its rarest grams. Similarities are tried from high to low, and a name that
+    has its k matches drops out, since no pair not met yet is nearer: names with close neighbours never join on their
+    commoner grams.
+    """
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        padded = F.concat(F.lit("  "), F.col("_name"), F.lit(" "))
+        named = df.select(key, T.key_form(name).alias("_name")).withColumn("_grams", _grams(padded, 3))
+        return named.filter(F.size("_grams") > 0)
+
+    a, b = grams(left, "left_id"), grams(right, "right_id")
+    frequency = materialise(
+        a.select(F.explode("_grams").alias("_gram")).unionByName(b.select(F.explode("_grams").alias("_gram")))
+        .groupBy("_gram").agg(F.count("*").alias("_df"))
+    )
+
+    def ranked(df: DataFrame, key: str) -> DataFrame:
+        met = df.select(key, F.explode("_grams").alias("_gram")).join(frequency, "_gram")
+        rarest = F.array_sort(F.collect_list(F.struct("_df", "_gram")))
+        own = met.groupBy(key).agg(F.transform(rarest, lambda g: g["_gram"]).alias("_grams"))
+        return materialise(own.join(df.select(key, "_name"), key))
+
+    a, b = ranked(a, "left_id"), ranked(b, "right_id")
+
+    def prefixes(df: DataFrame, key: str, least: float) -> DataFrame:
+        n = F.size("_grams")
+        return df.select(key, F.explode(F.slice("_grams", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("_gram"))
+
+    shared = F.size(F.array_intersect("_grams", "_grams_r"))
+    similarity = F.round(shared / (F.size("_grams") + F.size("_grams_r") - shared), 6)
+    right_side = b.select("right_id", F.col("_name").alias("_name_r"), F.col("_grams").alias("_grams_r"))
+    active, found = a, None
+    for least in (*[t for t in _STEPS if t > threshold], threshold):
+        pairs = prefixes(active, "left_id", least).join(prefixes(b, "right_id", least), "_gram").select("left_id", "right_id").distinct()
+        near = (
+            pairs.join(active, "left_id").join(right_side, "right_id").withColumn("similarity", similarity)
+            .filter(F.col("similarity") >= least).select("left_id", "right_id", "similarity", F.levenshtein("_name", "_name_r").alias("edit_distance"))
+        )
+        best = materialise(top_by(near, ["left_id"], [F.desc("similarity"), "right_id"], k, "rank"))
+        full = best.filter(F.col("rank") == k).select("left_id")
+        done = best if least == threshold else best.join(full, "left_id", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        active = active.join(full, "left_id", "left_anti")
+    return found

@@ -6,5 +6,6 @@ from passagework.plans import (  # noqa: F401
     maintenance_queries,
     report_queries,
     retrieval_queries,
+    source_queries,
     text_queries,
 )

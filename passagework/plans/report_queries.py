@@ -766,7 +766,7 @@ _K1_UNKNOWN = """
 @query(
     "k1_sharded_inference",
     with_views(
-        """SELECT passage_id, status, CASE WHEN status = 'fresh' THEN md5(upper(raw_text)) WHEN status = 'passthrough' THEN md5(raw_text) END AS text_hash
+        """SELECT passage_id, status, CASE WHEN status = 'fresh' THEN md5(replace(replace(upper(raw_text), 'ß', 'SS'), 'ẞ', 'SS')) WHEN status = 'passthrough' THEN md5(raw_text) END AS text_hash
         FROM (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM v_translation t WHERE t.passage_id = p.passage_id) THEN 'cached'
           WHEN language = 'en' THEN 'passthrough' WHEN language = 'de' THEN 'empty'
           WHEN d.reason IS NOT NULL THEN 'rejected' ELSE 'fresh' END AS status FROM v_partly_known p LEFT JOIN v_degenerate d ON d.doc_id = p.passage_id)""",

@@ -634,3 +634,29 @@ def d19(c):
     return Q.trigram_matches(
         names.select(F.col("id").alias("left_id"), "name"), names.select(F.col("id").alias("right_id"), "name")
     )
+
+
+_NAME_GRAMS = """SELECT c_custkey AS id, n AS name, list_distinct(list_transform(range(1, length('  ' || n || ' ') - 1),
+      lambda i: substr('  ' || n || ' ', i, 3))) AS grams
+    FROM (SELECT c_custkey, replace(lower(c_name), '#', ' ') || ' ' || lower(c_mktsegment) AS n FROM customer)"""
+
+
+@query(
+    "d19_top_matches",
+    with_views(
+        """SELECT left_id, right_id, similarity, edit_distance, CAST(row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS INT) AS rank FROM (
+          SELECT a.id AS left_id, b.id AS right_id, round(len(list_intersect(a.grams, b.grams)) /
+            CAST(len(a.grams) + len(b.grams) - len(list_intersect(a.grams, b.grams)) AS DOUBLE), 6) AS similarity,
+            CAST(levenshtein(a.name, b.name) AS INT) AS edit_distance FROM v_name_grams a, v_name_grams b) WHERE similarity >= 0.3
+        QUALIFY rank <= 3""",
+        ("v_name_grams", _NAME_GRAMS),
+    ),
+)
+def d19_top(c):
+    """The three most similar names of every customer, ties by key."""
+    names = c.table("customer").select(
+        F.col("c_custkey").alias("id"), F.concat_ws(" ", F.replace(F.lower("c_name"), F.lit("#"), F.lit(" ")), F.lower("c_mktsegment")).alias("name")
+    )
+    return Q.top_trigram_matches(
+        names.select(F.col("id").alias("left_id"), "name"), names.select(F.col("id").alias("right_id"), "name"), k=3
+    )
