@@ -24,18 +24,24 @@ def cite(
     *,
     editions: DataFrame | None = None,
     scan_pages: DataFrame | None = None,
+    alignments: DataFrame | None = None,
 ) -> DataFrame:
     """Complete citation columns on passages, ready to travel with results.
 
     works: work_slug, title_ar, title_en, author_ar, author_en, death_year.
     editions: edition and its facts (prefixed edition_). scan_pages: scan_page_id,
-    scan_page_uri. Missing authors read as a dash.
+    scan_page_uri. alignments: passage_id, chapter, verse_start, verse_end, confidence; a passage with several is cited by
+    the first of them in the canonical text. Missing authors read as a dash.
     """
     out = passages.join(works, "work_slug").withColumn("author_ar", F.coalesce("author_ar", F.lit("—")))
     if editions is not None:
         out = out.join(editions, "edition")
     if scan_pages is not None:
         out = out.join(scan_pages, "scan_page_id", "left")
+    if alignments is not None:
+        place = F.struct("chapter", "verse_start", "verse_end", F.col("confidence").alias("alignment_confidence"))
+        first = alignments.groupBy("passage_id").agg(F.min(place).alias("_place"))
+        out = out.join(first, "passage_id", "left").select("*", "_place.*").drop("_place")
     text = F.coalesce("verified_text", "raw_text") if "verified_text" in passages.columns else F.col("raw_text")
     return out.withColumn("display_text", text)
 

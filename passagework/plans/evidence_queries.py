@@ -80,6 +80,46 @@ def e1(c):
     )
 
 
+EDITION_SQL = """
+    SELECT s_suppkey AS edition, s_name AS edition_publisher, 1900 + s_nationkey AS edition_year,
+      CASE WHEN s_acctbal < 0 THEN 'HUMAN_REVIEW' ELSE 'PUBLISHED' END AS corpus_state FROM supplier"""
+
+
+def editions(c):
+    return c.table("supplier").select(
+        F.col("s_suppkey").alias("edition"), F.col("s_name").alias("edition_publisher"), (1900 + F.col("s_nationkey")).alias("edition_year"),
+        F.when(F.col("s_acctbal") < 0, "HUMAN_REVIEW").otherwise("PUBLISHED").alias("corpus_state"),
+    )
+
+
+def in_editions(passages):
+    """Every passage belongs to one of ten editions; every fourth was read from a scanned page."""
+    p = F.col("passage_id")
+    return passages.withColumns({"edition": p % 10, "scan_page_id": F.when(p % 4 == 0, F.floor(p / 4))})
+
+
+@query(
+    "e1_full_citation",
+    with_views(
+        """SELECT p.passage_id, p.work_slug, coalesce(author_ar, '—') AS author_ar, edition_publisher, edition_year, g.url AS scan_page_uri,
+          a.chapter, a.verse_start, a.verse_end, round((p.passage_id % 100) / CAST(100 AS DOUBLE), 2) AS alignment_confidence
+        FROM v_published p JOIN v_named w ON w.work_slug = p.work_slug JOIN v_edition e ON e.edition = p.passage_id % 10
+        JOIN v_passage_verse a ON a.passage_id = p.passage_id LEFT JOIN pages g ON p.passage_id % 4 = 0 AND g.page_id = p.passage_id // 4""",
+        ("v_named", _NAMED_WORK), ("v_edition", EDITION_SQL),
+    ),
+)
+def e1_full(c):
+    pages = c.table("pages").select(F.col("page_id").alias("scan_page_id"), F.col("url").alias("scan_page_uri"))
+    # A second, later alignment of each passage is not the one that is cited.
+    placed = c.alignments.withColumn("confidence", F.round((F.col("passage_id") % 100) / F.lit(100.0), 2))
+    later = placed.withColumns({"chapter": F.col("chapter") + 10, "confidence": F.lit(0.0)})
+    return E.cite(
+        in_editions(c.published), named_works(c), editions=editions(c).drop("corpus_state"), scan_pages=pages, alignments=placed.unionByName(later)
+    ).select(
+        "passage_id", "work_slug", "author_ar", "edition_publisher", "edition_year", "scan_page_uri", "chapter", "verse_start", "verse_end", "alignment_confidence"
+    )
+
+
 @query("e2_citation_string", oracle("SELECT query_id, passage_id, citation, paged AS resolves_to_page FROM v_cited"))
 def e2(c):
     return results(c).select(
@@ -185,6 +225,21 @@ def e9(c):
     return E.reference_list(r, E.works_of(r))
 
 
+@query(
+    "e9_edition_references",
+    with_views(
+        """SELECT w.query_id, CAST(row_number() OVER (PARTITION BY w.query_id ORDER BY first_position) AS INT) AS number, w.work_slug, passages_cited,
+        w.resolves_to_page, w.death_year IS NOT NULL AS dates_known, c.citation AS full_citation, edition_publisher, edition_year
+        FROM v_result_work w JOIN v_cited c ON c.query_id = w.query_id AND c.position = w.first_position JOIN v_edition e ON e.edition = c.passage_id % 10""",
+        *RESULT_VIEWS, ("v_edition", EDITION_SQL),
+    ),
+)
+def e9_editions(c):
+    r = results(c)
+    cited = in_editions(r).join(editions(c).drop("corpus_state"), "edition")
+    return E.reference_list(cited, E.works_of(r), facts=["edition_publisher", "edition_year"])
+
+
 @query(
     "e10_untranslated",
     oracle("""SELECT query_id, passage_id FROM v_result r WHERE language <> 'en'

@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from passagework.operators import cells as G
+from passagework.operators import evaluation as Y
 from passagework.operators import lexical as L
 from passagework.operators import quality as J
 from passagework.operators import snapshots as N
 from passagework.operators import tables as A
 from passagework.plans import sql_text as S
+from passagework.plans.clause_queries import evidence, grounding_oracle, verdicts
 from passagework.plans.driver_views import with_views
+from passagework.plans.evidence_queries import EDITION_SQL, editions, in_editions
 from passagework.plans.registry import query
 from passagework.plans.retrieval_queries import D14_SQL, STRICT, TOKEN_VIEWS, TURN_SEARCH, sparse_sql
 from passagework.session import shared_folder
@@ -187,3 +190,44 @@ def d14_cells(c):
     e = c.table("embeddings")
     cells = G.build_cells(e.select(F.col("vec_id").alias("passage_id"), F.col("embedding").alias("vector")))
     return G.cell_search(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), cells, limit=10)
+
+
+@query(
+    "j1_published_editions",
+    with_views(
+        "SELECT p.passage_id, p.work_slug, e.edition FROM v_published p JOIN v_edition e ON e.edition = p.passage_id % 10 WHERE e.corpus_state = 'PUBLISHED'",
+        ("v_edition", EDITION_SQL),
+    ),
+)
+def j1_editions(c):
+    """Passages of unpublished editions aren't read, whatever their work is."""
+    return J.published_passages(in_editions(c.unnumbered_passages), c.works, editions(c)).select("passage_id", "work_slug", "edition")
+
+
+@query("a13_page_range", with_views("SELECT page_id, image_index FROM v_scan_page WHERE image_index BETWEEN 3 AND 40"))
+def a13_range(c):
+    """An explicit range of images is read again, whether or not they were read."""
+    return A.pending_ocr(c.scan_pages, 3, 40).select("page_id", "image_index")
+
+
+@query(
+    "l2_verdict_rates",
+    grounding_oracle("""SELECT output_id AS query_id, count(*) AS claims, round(count(*) FILTER (WHERE reason IS NULL) / CAST(count(*) AS DOUBLE), 6) AS evidence_coverage,
+        round(count(*) FILTER (WHERE reason IS NOT NULL) / CAST(count(*) AS DOUBLE), 6) AS unsupported_rate FROM v_verdict GROUP BY output_id"""),
+)
+def l2_verdicts(c):
+    """Claims count as supported where their sentence was verified."""
+    told = verdicts(c, evidence(c))
+    return Y.claim_rates(told.select(F.col("output_id").alias("query_id"), F.col("kept").alias("supported")))
+
+
+@query(
+    "l2_citation_accuracy",
+    grounding_oracle("""SELECT output_id AS query_id, count(*) AS citations, round(count(*) FILTER (WHERE reason IS NULL) / CAST(count(*) AS DOUBLE), 6) AS citation_accuracy
+        FROM (SELECT output_id, reason, unnest(citations) AS passage_id FROM v_verdict WHERE NOT corrupt AND echo <= 0.6) GROUP BY output_id"""),
+)
+def l2_accuracy(c):
+    """Every citation of a sentence is right where the sentence was verified."""
+    told = verdicts(c, evidence(c))
+    cited = told.select(F.col("output_id").alias("query_id"), F.explode("citations").alias("passage_id"), F.col("kept").alias("supported"))
+    return Y.citation_accuracy(cited)
