@@ -51,7 +51,8 @@ def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> Data
     # The outer form: the plain one makes the optimizer take the words twice.
     found = named.select("key", "doc_id", (F.size("words") - 1).cast("long").alias("n_words"), F.posexplode_outer("words").alias("at", "term"))
     if vocabulary is not None:
-        found = found.join(vocabulary.select("term").union(docs.sparkSession.createDataFrame([(START,)], "term string")), "term", "left_semi")
+        started = docs.sparkSession.range(1).select(F.lit(START).alias("term"))
+        found = found.join(vocabulary.select("term").union(started), "term", "left_semi")
     first = F.col("at") == 0
     return materialise(
         found.select("term", "key", (F.col("at") - 1).alias("pos"), F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("n_words")).alias("n_words"))
