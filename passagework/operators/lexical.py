@@ -78,14 +78,13 @@ class LexicalIndex:
         return _union([_kept(s.facts.withColumn("shard", _global(i)), s) for i, s in enumerate(self.segments)])
 
     def read(self, terms: DataFrame, columns: Sequence[str] = ("tf", "n_tokens")) -> DataFrame:
-        """term, shard, passage_id and `columns` of the postings of `terms` (term, bucket), from their folders only."""
+        """tid, shard, passage_id and `columns` of the postings of `terms` (term, tid, bucket), from their folders only."""
         asked = [r.bucket for r in terms.select("bucket").distinct().collect()]  # POSTING_BUCKETS at most
-        wanted = terms.select("term")
         parts = [
             _kept(s.postings.filter(F.col("bucket").isin(asked)).select("term", _global(i).alias("shard"), "passage_id", *columns), s)
             for i, s in enumerate(self.segments)
         ]
-        return _union(parts).join(wanted, "term", "left_semi")
+        return _union(parts).join(terms.select("term", "tid"), "term").drop("term")
 
     def heads(self, terms: DataFrame) -> DataFrame:
         """term, shard, n, max_tf, min_tokens of the blocks of `terms` (term, bucket)."""
@@ -346,7 +345,7 @@ def _fulfilled(branches, index, vocabulary, frequency, limits, tags) -> DataFram
     )
     # A common term is met block by block, so its postings needn't meet in one task.
     blocks = rarest.join(index.heads(vocabulary).select("term", "shard"), "term").drop("term")
-    postings = index.read(vocabulary, ()).join(vocabulary.select("term", "tid"), "term").drop("term")
+    postings = index.read(vocabulary, ())
     hits = (
         blocks.join(postings, ["tid", "shard"]).groupBy(*key, "passage_id")
         .agg(F.count("*").alias("have"), F.first("rare").alias("rare")).filter("have = rare").select(*key, "passage_id")
@@ -358,36 +357,40 @@ def _fulfilled(branches, index, vocabulary, frequency, limits, tags) -> DataFram
             .groupBy(*key, "passage_id").agg(F.countDistinct("kind").alias("met")).join(told, "query_id").filter("met = kinds")
         )
         hits = met.select(*key, "passage_id").unionByName(hits.join(told, "query_id", "left_anti"))
-    hits = materialise(hits)
     # Branches of few words are fulfilled so far; of the others, each candidate's other terms are looked up.
-    open_ = branches.filter((F.size("terms") > RAREST) | (F.size("excluded") > 0))
+    many = (F.size("terms") > RAREST) | (F.size("excluded") > 0)
+    open_ = branches.filter(many)
     asked = (
         open_.select(*key, F.explode("terms").alias("term"), F.lit(1).alias("needed"), F.lit(0).alias("barred"))
         .unionByName(open_.select(*key, F.explode("excluded").alias("term"), F.lit(0).alias("needed"), F.lit(1).alias("barred")))
         .groupBy(*key, "term").agg(F.max("needed").alias("needed"), F.max("barred").alias("barred")).join(vocabulary.select("term", "tid"), "term").drop("term")
     )
+    told = materialise(hits.join(branches.select(*key, many.alias("open"), (F.size("phrases") > 0).alias("phrased")), key))
     looked = (
-        hits.join(asked, key).join(postings.drop("shard"), ["passage_id", "tid"])
-        .groupBy(*key, "passage_id").agg(F.sum("needed").alias("have"), F.sum("barred").alias("barred"))
-        .join(open_.select(*key, F.size("terms").alias("need")), key).filter("have = need and barred = 0").select(*key, "passage_id")
+        told.filter("open").join(asked, key).join(postings.drop("shard"), ["passage_id", "tid"])
+        .groupBy(*key, "passage_id", "phrased").agg(F.sum("needed").alias("have"), F.sum("barred").alias("barred"))
+        .join(open_.select(*key, F.size("terms").alias("need")), key).filter("have = need and barred = 0").select(*key, "passage_id", "phrased")
     )
-    full = materialise(hits.join(open_.select(*key), key, "left_anti").unionByName(looked))
+    full = told.filter("not open").select(*key, "passage_id", "phrased").unionByName(looked)
     phrased = branches.filter(F.size("phrases") > 0)
-    plain = full.join(phrased.select(*key), key, "left_anti")
-    return plain.unionByName(_with_phrases(full, phrased, index)).select("query_id", "passage_id").distinct()
+    if phrased.isEmpty():
+        return full.select("query_id", "passage_id").distinct()
+    full = materialise(full)
+    spoken = _with_phrases(full.filter("phrased"), phrased, index, vocabulary)
+    return full.filter("not phrased").select("query_id", "passage_id").unionByName(spoken.select("query_id", "passage_id")).distinct()
 
 
-def _with_phrases(full: DataFrame, phrased: DataFrame, index: LexicalIndex) -> DataFrame:
+def _with_phrases(full: DataFrame, phrased: DataFrame, index: LexicalIndex, vocabulary: DataFrame) -> DataFrame:
     """The rows of `full` in which every phrase of their branch stands: each word's positions less its place in the phrase meet."""
     key = ["query_id", "branch"]
     words = (
         phrased.select(*key, F.posexplode("phrases").alias("phrase", "words"))
         .select(*key, "phrase", F.size("words").alias("length"), F.posexplode("words").alias("place", "term"))
     )
-    terms = materialise(words.select("term").distinct().withColumn("bucket", _bucket()))
-    spots = index.read(terms, ("positions",)).select("term", "passage_id", "positions")
+    words = words.join(vocabulary.select("term", "tid", "bucket"), "term")
+    spots = index.read(bounded(words.select("term", "tid", "bucket").distinct(), 50_000), ("positions",)).drop("shard")
     starts = (
-        full.join(words, key).join(spots, ["passage_id", "term"])
+        full.join(words, key).join(spots, ["passage_id", "tid"])
         .select(*key, "passage_id", "phrase", "length", "place", F.explode("positions").alias("at"))
         .groupBy(*key, "passage_id", "phrase", "length", (F.col("at") - F.col("place")).alias("start")).agg(F.count("*").alias("held"))
         .filter("held = length")
@@ -415,7 +418,7 @@ def _ranked(wanted, index, vocabulary, scale, limits, tags, limit) -> DataFrame:
         bounds = bounds.join(kinds.select("query_id"), "query_id", "left_anti").unionByName(bounds.join(held, ["query_id", "shard"]))
     ranked = materialise(bounds.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "shard"))))
     tiles = max(1, -(-wanted.select("query_id").distinct().count() // TILE_QUERIES))
-    tables = (wanted, index.read(vocabulary).join(vocabulary.select("term", "tid"), "term"), scale, limits, tags, limit, tiles)
+    tables = (wanted, index.read(vocabulary), scale, limits, tags, limit, tiles)
     first = materialise(_score(ranked.filter("turn = 1").select("query_id", "shard", F.lit(0.0).alias("least")), *tables))
     last = first.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "passage_id")))
     reached = last.filter(F.col("place") == limit).select("query_id", (F.col("score") - ROUNDING).alias("least"))

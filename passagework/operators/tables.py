@@ -14,11 +14,11 @@ def bounded(df: DataFrame, max_rows: int = 20_000, max_bytes: int = 8 << 20) ->
     """A local copy of a table proven to hold at most `max_rows` rows and about `max_bytes`.
 
     The check reads one row more than the bound. Within both bounds, the result is a local
-    relation whose exact size the optimizer knows, so joins against it broadcast
+    relation, made from Arrow, whose exact size the optimizer knows, so joins against it broadcast
     by themselves; beyond them, the table comes back as it was and joins shuffle.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows or sum(len(str(v)) for r in rows for v in r) > max_bytes:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)
 

@@ -163,6 +163,19 @@ def j5_plan(c):
     return out
 
 
+@query(
+    "d12_index_blocks",
+    with_views(
+        "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n_occurrences, CAST(max(tf) AS BIGINT) AS most FROM v_tf GROUP BY term", *TOKEN_VIEWS
+    ),
+)
+def d12_blocks(c):
+    """The stored index of the corpus, built where it isn't there yet: passages, occurrences and greatest frequency by term."""
+    return c.index.segments[0].postings.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("n_occurrences"), F.max("tf").alias("most")
+    )
+
+
 # A later state of the corpus: three works have a new edition, one is gone.
 _NOW = """
     SELECT passage_id, work_slug, raw_text FROM v_published WHERE work_slug NOT IN ('src1', 'src2', 'src3', 'src4')

@@ -199,3 +199,15 @@ def test_contained_terms_keeps_short_terms(spark):
     texts = spark.createDataFrame([(1, "abcdef"), (2, "xyz"), (3, ""), (4, None)], "id long, body string")
     terms = spark.createDataFrame([("a", "s"), ("cd", "t"), ("bcdef", "u"), ("", "v"), ("yz", "w")], "term string, slug string")
     assert {(r.id, r.slug) for r in contained_terms(texts, "body", terms, "term").collect()} == {(1, "s"), (1, "t"), (1, "u"), (2, "w")}
+
+
+def test_bounded_tables_are_local_and_known_in_size(spark):
+    from passagework.operators.tables import bounded
+
+    made = spark.sql("select id, string(id) as s, array(id, null) as a, map('k', id) as m, named_struct('x', id, 'd', date'2020-02-03') as t, timestamp'2021-01-02 03:04:05' as z, cast(null as double) as n from range(9)")
+    small = bounded(made)
+    assert small.schema == made.schema and sorted(map(str, small.collect())) == sorted(map(str, made.collect()))
+    assert int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 20
+    plan = spark.range(10).join(small, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert bounded(made, 8) is made and bounded(made, 100, 10) is made and bounded(made.limit(0)).count() == 0
