@@ -171,7 +171,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """`docs` without the rows that hold an item's window; all columns stay."""
+    """`docs` without the rows that hold an item's window; all columns stay, whatever their names.
+
+    Rows with a null or empty text hold none and stay; repeated rows go or stay together; very long texts are read
+    whole; an empty table, or no items, leaves `docs` as it is.
+    """
     name = f"_key_{uuid.uuid4().hex}"  # clashes with no column of docs
     bad = phrase_matches(docs, items, window).select(F.col("key").alias(name)).distinct()
     return docs.join(bad, row_key(docs) == F.col(name), "left_anti")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.llm.common import chunks, mapped
+from passagework.operators.tables import bounded
 
 #: Hashed n-gram dimensions.
 DIMENSIONS = 4096
@@ -126,7 +127,8 @@ def fit(labelled: DataFrame, *, per_language: int = 200, sample_rows: int = 6_40
         .withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= each)
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each)
     )
-    cut = least.groupBy("lang").agg(F.max("h").alias("cut"))
+    # One row a language, read as a local table where it is one, so that the join moves no text.
+    cut = bounded(least.groupBy("lang").agg(F.max("h").alias("cut")))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -174,7 +176,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs` that `model` does not reject, with all their columns."""
+    """The rows of `docs` that `model` does not reject, with all their columns.
+
+    Rows whose text is null, empty or without a letter go; repeated rows are judged alike and all stay or go; very long texts
+    are judged whole; an empty table stays empty; further columns travel along unread, whatever their names.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):

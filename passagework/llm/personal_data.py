@@ -407,7 +407,11 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def mask_documents(docs: DataFrame, field: Field) -> DataFrame:
-    """`docs` with all spans masked in text; n_chars, where there is such a column of longs, follows the new text."""
+    """`docs` with all spans masked in text; n_chars, where there is such a column of longs, follows the new text.
+
+    Null and empty texts stay as they are, a null n_chars stays null; very long texts are masked whole; repeated rows
+    repeat; an empty table stays empty; all other columns travel along unread, whatever their names.
+    """
     names = docs.columns
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,7 +85,11 @@ def _encoder(path: str) -> CachedEncoder:
 
 
 def encode_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """doc_id, n_tokens, ids of every whole text, `end_id` last; null texts count as empty."""
+    """doc_id, n_tokens, ids of every whole text, `end_id` last.
+
+    Null and empty texts give `end_id` alone; very long texts are encoded whole; repeated rows repeat; an empty table
+    gives no rows; columns other than doc_id and text are not read, whatever their names.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path)
@@ -120,7 +124,9 @@ def write_tokens(tokens: DataFrame, path: str, *, row_group_bytes: int = 16 << 2
 def write_documents(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = 1, **layout) -> None:
     """Encode `docs` and write them in global doc_id order.
 
-    Texts are dealt into ranges before they are encoded, so that the sampling of ranges doesn't encode twice.
+    Texts are dealt into ranges before they are encoded, so that the sampling of ranges doesn't encode twice. Null
+    doc_ids come first, rows of one doc_id stand next to each other, an empty table gives files without rows. For
+    null and long texts and further columns see `encode_tokens`.
     """
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id")
     write_tokens(encode_tokens(dealt, tokenizer_path, end_id), path, **layout)
@@ -139,7 +145,8 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32.
 
-    `start` counts the ids of all documents before it (null doc_ids first, repeated ids in a fixed order).
+    `start` counts the ids of all documents before it (null doc_ids first, repeated ids in a fixed order). Every
+    row of the files has its row, a document without words too; files without rows give none.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
