@@ -1,6 +1,7 @@
 """A training corpus in five stages, each of which reads what the one before it wrote.
 
-Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of `docs`.
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of `docs`, further
+columns of any name included. Repeated rows and very long texts are documents like others; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,27 +21,33 @@ from passagework.session import materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known go on."""
+    """Documents whose language is known go on.
+
+    Those without text or without a letter are rejected; of an empty table nothing is learned and nothing goes on.
+    """
     return keep_identified(docs, fit_languages(docs.where(~held_out())))
 
 
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies goes on."""
+    """One document of each group of near copies goes on: that of the smallest doc_id, one row of it where it repeats.
+
+    Documents without words, and those without a doc_id, are near to none and go on.
+    """
     return keep_one_of_each(docs, length=5, threshold=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage go on."""
+    """Documents without a benchmark passage go on; without text, or without items, all do."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents go on, with personal data masked."""
+    """All documents go on, with personal data masked; those without text as they are."""
     return mask_documents(docs, fit_personal_data(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text."""
+    """Token counts and digests of the ids and of the decoded text; a null text counts as empty."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     return piece_digests(encode_pieces(docs, model, decode=True))
 
