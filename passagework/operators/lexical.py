@@ -344,7 +344,7 @@ def _fulfilled(branches, index, vocabulary, frequency, limits, tags) -> DataFram
         .filter(f"have = need and place <= {RAREST}").select(*key, "term", "tid", F.least("need", F.lit(RAREST)).alias("rare"))
     )
     # A common term is met block by block, so its postings needn't meet in one task.
-    blocks = rarest.join(index.heads(vocabulary).select("term", "shard"), "term").drop("term")
+    blocks = bounded(rarest.join(index.heads(vocabulary).select("term", "shard"), "term").drop("term"))
     postings = index.read(vocabulary, ())
     hits = (
         blocks.join(postings, ["tid", "shard"]).groupBy(*key, "passage_id")
