@@ -97,3 +97,30 @@ def test_vectors_match_brute_force(spark, block, monkeypatch):
     got = [tuple(r) for r in near_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def planted(dims, n, seed):
+    """n pairs of unit vectors whose cosines lie between 0.98 and 0.985."""
+    rng = np.random.default_rng(seed)
+    a, z = rng.standard_normal((2, n, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z -= (z * a).sum(1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.9801, 0.985, (n, 1))
+    return a, c * a + np.sqrt(1 - c * c) * z
+
+
+@pytest.mark.parametrize("dims,n", [(64, 2_000), (768, 200)])
+def test_pairs_just_above_the_threshold_meet(dims, n):
+    a, b = (buckets(x, 12, 2, 2) for x in planted(dims, n, dims))
+    assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() >= 0.999
+
+
+def test_planted_vector_pairs_are_linked(spark):
+    rows = []
+    for dims, n in [(64, 150), (768, 30)]:
+        for x, y in zip(*planted(dims, n, dims + 1), strict=True):
+            rows += [(len(rows), x.tolist(), len(rows) % 4), (len(rows) + 1, y.tolist(), len(rows) % 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = near_vectors(df).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == [(i, 1, i - i % 2, i % 2 == 0) for i in range(len(rows))]
