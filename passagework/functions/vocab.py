@@ -22,47 +22,47 @@ ARABIC_LETTERS = r"\u0621-\u063a\u0641-\u064a\u0671-\u06d3"
 URDU_LETTERS = r"\u0679\u0688\u0691\u06ba\u06d2\u06c1\u06be\u06af\u0686\u067e\u0698\u06c2\u06d3\u0674"
 
 ALEF_FOLDS = {
-    "\u0622": "\u0627",
-    "\u0623": "\u0627",
-    "\u0625": "\u0627",
-    "\u0671": "\u0627",
-    "\u0672": "\u0627",
-    "\u0673": "\u0627",
-    "\u0675": "\u0627",
+    "آ": "ا",
+    "أ": "ا",
+    "إ": "ا",
+    "ٱ": "ا",
+    "ٲ": "ا",
+    "ٳ": "ا",
+    "ٵ": "ا",
 }
 LETTER_FOLDS = {
-    "\u0649": "\u064a",
-    "\u06cc": "\u064a",
-    "\u0629": "\u0647",
-    "\u0624": "\u0648",
-    "\u0626": "\u064a",
-    "\u06a9": "\u0643",
-    "\u06ba": "\u0646",
-    "\u06c1": "\u0647",
-    "\u06c3": "\u0647",
-    "\u06d5": "\u0647",
+    "ى": "ي",
+    "ی": "ي",
+    "ة": "ه",
+    "ؤ": "و",
+    "ئ": "ي",
+    "ک": "ك",
+    "ں": "ن",
+    "ہ": "ه",
+    "ۃ": "ه",
+    "ە": "ه",
 }
 DIGIT_FOLDS = dict(zip("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"))
 PUNCTUATION_FOLDS = {
-    "\u060c": ",",
-    "\u061b": ";",
-    "\u061f": "?",
-    "\u066a": "%",
-    "\u066b": ".",
-    "\u066c": ",",
-    "\u066d": "*",
-    "\u06d4": ".",
-    "\u2010": "-",
-    "\u2011": "-",
-    "\u2012": "-",
-    "\u2013": "-",
-    "\u2014": "-",
-    "\u201c": "\"",
-    "\u201d": "\"",
-    "\u2018": "'",
-    "\u2019": "'",
-    "\u00ab": "\"",
-    "\u00bb": "\"",
+    "،": ",",
+    "؛": ";",
+    "؟": "?",
+    "٪": "%",
+    "٫": ".",
+    "٬": ",",
+    "٭": "*",
+    "۔": ".",
+    "‐": "-",
+    "‑": "-",
+    "‒": "-",
+    "–": "-",
+    "—": "-",
+    "“": "\"",
+    "”": "\"",
+    "‘": "'",
+    "’": "'",
+    "«": "\"",
+    "»": "\"",
 }
 
 # --------------------------------------------------------------------------
