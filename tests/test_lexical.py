@@ -116,3 +116,21 @@ def test_what_fulfils_a_branch_is_never_written_out(spark, monkeypatch):
     got = L.search(spark.createDataFrame(rows, "query_id int, text string"), index, limit=10_000).groupBy("query_id").count().collect()
     assert [r["count"] for r in got] == [300] * 40
     assert max(t.count() for t in written) <= 100
+
+
+def test_a_build_moves_texts_and_never_single_words(spark, monkeypatch):
+    """Long passages are dealt into shards of few words, blocks are made inside them: no row of a shuffle is a word."""
+    monkeypatch.setattr(L, "SHARD_TOKENS", 300)
+    plans, real = [], L.materialise
+    monkeypatch.setattr(L, "materialise", lambda df, *a, **k: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *a, **k))
+    rows = [*texts(random.Random(4), 100), (900, "k0", "w0 " * 700), (901, "k0", None), (902, "k0", "...")]
+    index = L.build_index(passages_of(spark, rows), shard_rows=60)
+    assert not [p for p in plans if "Generate" in p]
+    sizes = [r["sum(n_tokens)"] for r in index.facts().groupBy("shard").sum("n_tokens").collect()]
+    assert len(sizes) > 6 and sorted(sizes)[-2] < 900
+    places = index.facts().select("shard", "place").collect()
+    assert len(set(places)) == len(rows)
+    want = {(p, w, i) for p, _, t in rows for i, w in enumerate((t or "").replace(".", "").split())}
+    e = index.segments[0].postings.select("term", "shard", F.explode("entries").alias("e")).select("term", "shard", "e.place", "e.positions")
+    got = e.join(index.facts(), ["shard", "place"]).select("passage_id", "term", F.explode("positions")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
