@@ -164,3 +164,25 @@ def test_any_word_search_is_exact_and_reads_stored_postings(spark):
             assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in best]
     one = L.search(queries.limit(1), index)
     assert one.count() and "bucket" in index.segments[0].postings.columns
+
+
+def test_top_names_meet_in_tiles_and_write_only_their_best(spark, monkeypatch):
+    """Near-equal names of one pattern: what is written stays within k rows a name and tile, over blocks and ties."""
+    rng = random.Random(3)
+    monkeypatch.setattr(Q, "_NAME_BLOCK", 25)
+    monkeypatch.setattr(Q, "_NAME_PART", 80)
+    names = [(i, f"customer {rng.randint(0, 400):06d} {rng.choice(['red', 'green'])}") for i in range(200)] + [(300, "zzz"), (301, "")]
+    left = spark.createDataFrame(names, "left_id int, name string").filter("left_id % 5 = 0")
+    right = spark.createDataFrame(names, "right_id int, name string")
+    written, real = [], Q.materialise
+    monkeypatch.setattr(Q, "materialise", lambda *a, **k: written.append(real(*a, **k)) or written[-1])
+    got = {(r.left_id, r["rank"]): (r.right_id, r.similarity) for r in Q.top_trigram_matches(left, right, k=3).collect()}
+    grams = {i: {f"  {n} "[j : j + 3] for j in range(len(n) + 1)} for i, n in names}
+    want = {}
+    for i, _ in names:
+        if i % 5 == 0 and grams[i]:
+            alike = [(-round(len(grams[i] & g) / len(grams[i] | g), 6), j) for j, g in grams.items() if g]
+            for rank, (s, j) in enumerate(sorted(x for x in alike if -x[0] >= 0.3)[:3], 1):
+                want[i, rank] = (j, -s)
+    assert got == want
+    assert max(t.count() for t in written) <= len(names)
