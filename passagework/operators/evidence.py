@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.operators.retrieval import top_by
+from passagework.operators.tables import bounded
 
 NO_PAGE = "[no page-level citation available for this edition]"
 NOTE_EMPTY = "Insufficient verified evidence was retrieved from the current corpus."
@@ -267,13 +268,16 @@ def untranslated(
 
 
 def log_rules(runs: DataFrame, applicable: DataFrame, stage: str = "retrieval") -> DataFrame:
-    """One row per run and applied rule; re-logging a run adds nothing."""
-    return (
-        runs.select("run_id", F.col("classified_type").alias("query_type"))
-        .join(applicable.select("query_type", "rule_key"), "query_type")
-        .select("run_id", "rule_key", F.lit(stage).alias("stage"))
-        .dropDuplicates(["run_id", "rule_key", "stage"])
-    )
+    """One row per run and applied rule; re-logging a run adds nothing.
+
+    Repeated runs are one row before the rules join, and rules are distinct for each set of types a run has, so the log
+    itself is never sorted or held for duplicates.
+    """
+    typed = runs.groupBy("run_id").agg(F.array_sort(F.collect_set("classified_type")).alias("_types"))
+    known = applicable.select("query_type", "rule_key").distinct()
+    sets = typed.select("_types").distinct()
+    rules = sets.select("_types", F.explode("_types").alias("query_type")).join(known, "query_type").select("_types", "rule_key").distinct()
+    return typed.join(bounded(rules), "_types").select("run_id", "rule_key", F.lit(stage).alias("stage"))
 
 
 def untranslated_for_readers(results: DataFrame, translations: DataFrame, readers: DataFrame) -> DataFrame:
