@@ -1,8 +1,10 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from passagework import session
 from passagework.operators import lexical as L
 
 WORDS = [f"w{i}" for i in range(30)]
@@ -134,3 +136,39 @@ def test_a_build_moves_texts_and_never_single_words(spark, monkeypatch):
     e = index.segments[0].postings.select("term", "shard", F.explode("entries").alias("e")).select("term", "shard", "e.place", "e.positions")
     got = e.join(index.facts(), ["shard", "place"]).select("passage_id", "term", F.explode("positions")).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_terms_of_many_occurrences_and_far_places_are_scored_as_others(spark):
+    rows = [(i, "a", "w1 " * (i % 300) + "w2") for i in range(400)]
+    index = L.build_index(passages_of(spark, rows))
+    queries = spark.createDataFrame([(1, "w1 OR w2"), (2, "w2 -w1")], "query_id int, text string")
+    n, mean = 400, sum(i % 300 + 1 for i in range(400)) / 400
+
+    def part(tf, df, length):
+        weight = math.log(1 + (n - df + 0.5) / (df + 0.5))
+        return weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) if tf else 0.0
+
+    df1 = sum(1 for i in range(400) if i % 300)
+    scores = {i: round(part(i % 300, df1, i % 300 + 1) + part(1, 400, i % 300 + 1), 6) for i in range(400)}
+    want = sorted(scores.items(), key=lambda e: (-e[1], e[0]))[:100]
+    got = L.search(queries, index).orderBy("query_id", "rank").collect()
+    assert [(r.passage_id, pytest.approx(r.score, abs=2e-6)) for r in got if r.query_id == 1] == want
+    assert {r.passage_id for r in got if r.query_id == 2} == {0, 300}
+    assert max(r.max_tf for r in index.heads(spark.createDataFrame([("w1",)], "term string").withColumn("bucket", L._bucket())).collect()) == 299
+
+
+def test_a_build_leaves_no_copy_of_the_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    index = L.build_index(passages_of(spark, texts(random.Random(3), 60)))
+    stored = {f.split("/")[-2] if "bucket=" not in f else f.split("/")[-3] for t in (index.segments[0].facts, index.segments[0].postings) for f in t.inputFiles()}
+    texts_kept = [p.name for p in tmp_path.glob("table-*") if "words" in spark.read.parquet(str(p)).columns]
+    assert not texts_kept and stored <= {p.name for p in tmp_path.glob("table-*")}
+
+
+def test_a_search_has_no_more_tasks_than_cores_and_its_rows_no_weights(spark, monkeypatch):
+    seen = []
+    scored = L._scored
+    monkeypatch.setattr(L, "_scored", lambda rows, *rest: seen.append(out := scored(rows, *rest)) or seen.append(rows.columns) or out)
+    index = L.build_index(passages_of(spark, texts(random.Random(4), 200)), shard_rows=5)
+    assert found(index, spark)
+    assert seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and "weights" not in seen[1]
