@@ -6,8 +6,10 @@ worker, and yields rows keyed by id, so results never depend on position.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 from passagework.functions import text as T
 from passagework.session import materialise
 
+#: Words whose places a worker of the embedder remembers.
+KNOWN_WORDS = 200_000
+
 BatchFunction = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -135,13 +140,16 @@ def hashing_embedder(dims: int) -> BatchFunction:
     """Unit vectors of word counts, words dealt to places by the first 32 bits of their md5."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @functools.lru_cache(maxsize=KNOWN_WORDS)
+        def place(word: str) -> int:
+            return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims
+
+        words = re.compile(r"[^ \t\n\x0b\x0c\r]+")
         for b in batches:
             vectors = np.zeros((len(b), dims), dtype=np.float32)
             for row, text in enumerate(b["text"]):
-                for word in re.split(r"[ \t\n\x0b\x0c\r]+", text):
-                    if not word:
-                        continue
-                    vectors[row, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims] += 1
+                for word, times in Counter(words.findall(text)).items():
+                    vectors[row, place(word)] += times
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             vectors /= np.where(norms == 0, 1, norms)
             yield pd.DataFrame({"passage_id": b["passage_id"], "embedding": list(vectors)})

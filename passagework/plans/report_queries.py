@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
@@ -785,6 +786,21 @@ def k1_shards(c):
     return out.select("passage_id", "status", F.md5("text").alias("text_hash"))
 
 
+def squared_lengths(words: Column) -> Column:
+    """Array of the squared length of the counts of words by place, empty where there is no word.
+
+    A number's remainder by 16 is its last hexadecimal digit, so a text's places are one string of digits, made once
+    (an array of one binds it) and asked 16 times by length.
+    """
+    digits = F.array_join(F.transform(words, lambda w: F.substring(F.md5(w), 8, 1)), "")
+
+    def total(d: Column) -> Column:
+        counts = [(F.length(d) - F.length(F.replace(d, F.lit(f"{i:x}"), F.lit("")))).cast("long") for i in range(16)]
+        return functools.reduce(lambda a, b: a + b, [k * k for k in counts])
+
+    return F.filter(F.transform(F.array(digits), total), lambda t: t > 0)
+
+
 @query(
     "k2_embed_passages",
     with_views(
@@ -798,12 +814,9 @@ def k1_shards(c):
 def k2(c):
     # Squared lengths are whole numbers, so a unit vector tells the counts it came from exactly.
     vectors = K.embed_pending(
-        c.published.withColumn("embedding", F.lit(None).cast("array<float>")), K.hashing_embedder(16), text="raw_text"
+        c.unnumbered_published.withColumn("embedding", F.lit(None).cast("array<float>")), K.hashing_embedder(16), text="raw_text"
     )
     words = F.filter(F.split("raw_text", "[ \\t\\n\\x0b\\x0c\\r]+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % 16)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("long"))
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, k: s + k * k)
-    asked = c.published.select("passage_id", total.alias("total")).filter("total > 0")
+    asked = T.unnest(c.unnumbered_published, ["passage_id"], squared_lengths(words), "total")
     whole = F.transform("embedding", lambda v: F.concat(F.round(v * F.sqrt("total")).cast("long").cast("string"), F.lit("/"), F.col("total").cast("string")))
     return vectors.join(asked, "passage_id").select("passage_id", F.array_join(whole, " ").alias("vector"))
