@@ -186,3 +186,21 @@ def test_top_names_meet_in_tiles_and_write_only_their_best(spark, monkeypatch):
                 want[i, rank] = (j, -s)
     assert got == want
     assert max(t.count() for t in written) <= len(names)
+
+
+def test_scores_of_a_tile_are_held_in_blocks_of_bounded_size(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    def rows(n, key, seed):
+        vectors = np.random.default_rng(seed).normal(size=(n, 8))
+        return pd.DataFrame({key: range(n), "vector": list(vectors)})
+
+    left, right = rows(70, "query_id", 1).assign(works=None), rows(300, "passage_id", 2).assign(work_slug="")
+    want = Q._best_in_tile(5)(left, right).reset_index(drop=True)
+    held = []
+    rounded = np.round
+    monkeypatch.setattr(Q, "_BLOCK_CELLS", 1_000)
+    monkeypatch.setattr(Q.np, "round", lambda a, n: held.append(a.size) or rounded(a, n))
+    pd.testing.assert_frame_equal(Q._best_in_tile(5)(left, right).reset_index(drop=True), want)
+    assert held and max(held) <= 1_000
