@@ -11,15 +11,22 @@ from passagework.functions import vocab as V
 from passagework.operators.understanding import tier_rank
 
 
+#: Alignments that one task joins to their passages: a large table gets more tasks, not larger ones.
+STATS_ROWS = 500_000
+
+
 def work_stats(works: DataFrame, passages: DataFrame, alignments: DataFrame) -> DataFrame:
     """Works with passage_count and verse_count; works without passages stay.
 
     A passage counts once per alignment. Counts are taken per work before the
     works join, so the join sees one row per work.
     """
+    placed, known = alignments.select("passage_id", "chapter", "verse_start"), passages.select("passage_id", "work_slug")
+    tasks = -(-placed.count() // STATS_ROWS)
+    if tasks > int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        placed, known = placed.repartition(tasks, "passage_id"), known.repartition(tasks, "passage_id")
     counted = (
-        passages.select("passage_id", "work_slug")
-        .join(alignments.select("passage_id", "chapter", "verse_start"), "passage_id", "left")
+        known.join(placed, "passage_id", "left")
         .groupBy("work_slug")
         .agg(
             F.count("passage_id").alias("passage_count"),
