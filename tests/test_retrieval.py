@@ -204,3 +204,20 @@ def test_scores_of_a_tile_are_held_in_blocks_of_bounded_size(monkeypatch):
     monkeypatch.setattr(Q.np, "round", lambda a, n: held.append(a.size) or rounded(a, n))
     pd.testing.assert_frame_equal(Q._best_in_tile(5)(left, right).reset_index(drop=True), want)
     assert held and max(held) <= 1_000
+
+
+def shuffles(df):
+    """Shuffles of rows that the plan of `df` asks for; broadcasts are none."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange" in line and "Broadcast" not in line and "Reused" not in line for line in plan.splitlines())
+
+
+def test_fusion_deals_rows_by_query_once(spark, tables):
+    """Ranked lists move once, by query, whatever ranks them inside it; against few openings no hit moves at all."""
+    passages, places, _ = tables
+    passages = L.bounded(passages)  # few, so that it is broadcast
+    ranked = spark.createDataFrame([(1, p, p + 1) for p in range(9)], "query_id int, passage_id int, rank int").cache()
+    assert shuffles(Q.hybrid_search({"structural": ranked, "sparse": ranked}, passages)) == 1
+    assert shuffles(Q.diversify_by_work(Q.fuse_ranks({"structural": ranked, "sparse": ranked}, published=passages))) == 1
+    refs = spark.createDataFrame([(1, 1, 2, 3)], "query_id int, chapter int, verse_start int, verse_end int")
+    assert shuffles(Q.structural_search(refs, places, passages)) == 1
