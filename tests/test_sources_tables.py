@@ -211,3 +211,14 @@ def test_bounded_tables_are_local_and_known_in_size(spark):
     plan = spark.range(10).join(small, "id")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     assert bounded(made, 8) is made and bounded(made, 100, 10) is made and bounded(made.limit(0)).count() == 0
+
+
+def test_pages_are_rebuilt_with_one_shuffle(spark):
+    words = spark.createDataFrame(
+        [(1, 0, 0, 0, 0, "a", 50.0), (1, 1, 0, 0, 0, "b", 70.0), (1, 2, 0, 0, 1, "c", 90.0), (2, 0, 0, 0, 0, "d", 10.0)],
+        "page_id int, ord int, block int, paragraph int, line int, word string, confidence double",
+    )
+    pages = X.rebuild_pages(words)
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange" in line for line in plan.splitlines()) == 1
+    assert {r.page_id: r.text for r in pages.collect()} == {1: "a b\nc", 2: "d"}

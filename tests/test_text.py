@@ -97,7 +97,7 @@ def test_degenerate(spark):
 
 def test_white_space_is_ruled_out_by_one_range_first(spark):
     """`SPACE` is the class of white space, and composition looks at the same characters, with the common ones ruled out first."""
-    rows = spark.range(0xFFFF).filter("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), F.lit("UTF-16BE")).alias("c"))
+    rows = spark.range(0xFFFF).filter("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
     assert rows.filter(F.col("c").rlike(T.SPACE) != F.col("c").rlike(f"[{T.V.WHITESPACE}]")).count() == 0
     marks = T._MAYBE_UNCOMPOSED.split("&&", 1)[1][:-1]
     assert rows.filter(F.col("c").rlike(T._MAYBE_UNCOMPOSED) != F.col("c").rlike(marks)).count() == 0
