@@ -6,6 +6,8 @@ import pytest
 
 from passagework.operators import lexical as L
 from passagework.operators import retrieval as Q
+from passagework.plans import all_queries  # noqa: F401  registers every query
+from passagework.plans.registry import runner
 
 random.seed(7)
 WORDS = "alpha beta gamma delta or eps zeta eta theta".split()
@@ -221,3 +223,8 @@ def test_fusion_deals_rows_by_query_once(spark, tables):
     assert shuffles(Q.diversify_by_work(Q.fuse_ranks({"structural": ranked, "sparse": ranked}, published=passages))) == 1
     refs = spark.createDataFrame([(1, 1, 2, 3)], "query_id int, chapter int, verse_start int, verse_end int")
     assert shuffles(Q.structural_search(refs, places, passages)) == 1
+
+
+def test_the_registered_name_search_asks_every_customer(spark):
+    found = runner("d19_top_matches")(spark, "/root/testdata/sf0.001").select("left_id").distinct().count()
+    assert found == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
