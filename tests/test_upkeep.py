@@ -179,3 +179,8 @@ def test_the_registered_cell_search_asks_every_fiftieth_vector(spark):
     found = runner("d14_cell_search")(spark, "/root/testdata/sf0.001").select("query_id").distinct().collect()
     every = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id % 50 = 0").count()
     assert len(found) == every and all(r.query_id % 50 == 0 for r in found)
+
+
+def test_the_registered_cell_search_asks_every_vector(spark):
+    found = runner("d14_cell_search")(spark, "/root/testdata/sf0.001").select("query_id").distinct().count()
+    assert found == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("embedding is not null").count()
