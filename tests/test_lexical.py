@@ -172,3 +172,28 @@ def test_a_search_has_no_more_tasks_than_cores_and_its_rows_no_weights(spark, mo
     index = L.build_index(passages_of(spark, texts(random.Random(4), 200)), shard_rows=5)
     assert found(index, spark)
     assert seen[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and "weights" not in seen[1]
+
+
+def test_rows_reach_python_without_null_lists(spark, monkeypatch):
+    """A null list costs the writer of a batch as many steps as rows stand before it."""
+    passages = spark.createDataFrame([(i, "w", f"alpha w{i % 7} {'beta' if i % 3 else 'gamma'}") for i in range(90)], "passage_id int, work_slug string, raw_text string")
+    queries = spark.createDataFrame([(1, "alpha"), (2, '"alpha w3" OR gamma -beta'), (3, "w1 OR w2")], "query_id int, text string")
+    real = L._best_of_tasks
+
+    def strict(scale, limit):
+        inner = real(scale, limit)
+
+        def run(batches):
+            def checked():
+                for batch in batches:
+                    for name, column in zip(batch.schema.names, batch.columns, strict=True):
+                        assert not (str(column.type).startswith("list") and column.null_count), name
+                    yield batch
+
+            yield from inner(checked())
+
+        return run
+
+    monkeypatch.setattr(L, "_best_of_tasks", strict)
+    found = L.search(queries, L.build_index(passages), limit=200).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in found} == {1: 90, 2: 38, 3: 26}
