@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+from passagework.plans.source_queries import write_arrays
 from passagework.operators import evidence as E
 from passagework.operators import inference as K
 from passagework.operators import quality as J
@@ -222,3 +223,17 @@ def test_pages_are_rebuilt_with_one_shuffle(spark):
     plan = pages._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange" in line for line in plan.splitlines()) == 1
     assert {r.page_id: r.text for r in pages.collect()} == {1: "a b\nc", 2: "d"}
+
+
+def test_chapter_files_are_written_entry_by_entry(spark, tmp_path):
+    """A file is whole however many batches its entries come in; its array never stands in one row."""
+    rows = [(f"k{i % 3}/{i % 2}.json", i, None if i == 5 else f'say "{i}"', json.dumps({"ayah": i})) for i in range(60)] + [("k0/0.json", 6, "b", '{"ayah":6,"text":"b"}')]
+    entries = spark.createDataFrame(rows, "path string, ayah int, text string, entry string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        write_arrays(entries, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    found = {f"{p.parent.name}/{p.name}": [e["ayah"] for e in json.loads(p.read_text())] for p in tmp_path.glob("*/*.json")}
+    assert found == {path: sorted(r[1] for r in rows if r[0] == path) for path in {r[0] for r in rows}}
