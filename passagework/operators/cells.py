@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.operators.retrieval import _best_in_tile, _hit_schema, _unit, top_by
@@ -21,6 +21,8 @@ from passagework.session import materialise
 
 #: Rows of one block of a cell, and queries scored on it at once.
 BLOCK_ROWS = 20_000
+#: Queries of a tile that read the same cells, and queries whose angles to all cells are held at once.
+MET_QUERIES, BOUND_QUERIES = 2_048, 512
 #: Similarities are compared after rounding to six places.
 ROUNDING = 1e-5
 
@@ -75,21 +77,32 @@ def build_cells(vectors: DataFrame, cells: int | None = None, *, sample: int = 2
     return Cells(centroids, stored, sizes)
 
 
-def cell_bounds(queries: DataFrame, cells: Cells) -> DataFrame:
-    """(query_id, cell, bound, turn): the greatest cosine a vector of the cell can have to the query, best cells first."""
+def _filled(cells: Cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, radii and centroids of the cells that hold vectors."""
     known = {r.cell: r.radius for r in cells.sizes.select("cell", "radius").collect()}  # as many as cells
     names = np.array(sorted(known), dtype=int)
     radii = np.array([known[c] for c in names.tolist()])
-    centroids = cells.centroids[names] if len(names) else cells.centroids
+    return names, radii, cells.centroids[names] if len(names) else cells.centroids
+
+
+def cell_bounds(queries: DataFrame, cells: Cells, best: int | None = None) -> DataFrame:
+    """(query_id, cell, bound, turn): the greatest cosine a vector of the cell can have to the query, best cells first.
+
+    With `best`, only so many cells of each query.
+    """
+    names, radii, centroids = _filled(cells)
     kind = dict(queries.dtypes)["query_id"]
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b) or not len(names):
+        blocks = (b.iloc[i : i + BOUND_QUERIES] for b in batches for i in range(0, len(b), BOUND_QUERIES))
+        for b in blocks:
+            if not len(names):
                 continue
             angles = np.arccos(np.clip(_unit(b["vector"]) @ centroids.T, -1, 1))
             bounds = np.cos(np.maximum(angles - radii, 0))
-            yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), len(names)), "cell": np.tile(names, len(b)), "bound": bounds.ravel(), "angle": angles.ravel()})
+            turns = np.lexsort((np.broadcast_to(names, angles.shape), angles, -bounds))[:, :best]
+            kept = [np.take_along_axis(x, turns, 1).ravel() for x in (bounds, angles)]
+            yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), turns.shape[1]), "cell": names[turns.ravel()], "bound": kept[0], "angle": kept[1]})
 
     made = queries.select("query_id", "vector").mapInPandas(bound, f"query_id {kind}, cell int, bound double, angle double")
     return made.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "angle", "cell"))).drop("angle")
@@ -100,12 +113,13 @@ def cell_search(
 ) -> DataFrame:
     """Cosine top-k: query_id, passage_id, similarity, rank, as `retrieval.dense_search` gives it; exact without `probes`.
 
-    The `first` cells of each query give its kth similarity; of the others only those whose bound reaches it are read.
+    The `first` cells of each query give its kth similarity. Then tiles of queries meet parts of the cells, each vector
+    moving once a tile, and a block of queries near one another reads the cells whose bound reaches one of them only.
     """
     q = materialise(query_vectors.filter("vector is not null").select("query_id", "vector"))
     works = F.lit(None).cast("array<string>").alias("works")
     asked = q.select("*", works) if query_works is None else q.join(query_works.select("query_id", "works"), "query_id", "left")
-    bounds = materialise(cell_bounds(q, cells))
+    bounds = materialise(cell_bounds(q, cells, first if probes is None else probes))
     tiles = max(1, -(-q.count() // BLOCK_ROWS))
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -118,17 +132,56 @@ def cell_search(
         tile = ["cell", "block", "tile"]
         return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInPandas(_best_in_tile(limit), _hit_schema(q, cells.vectors))
 
-    if probes is not None:
-        found = scored(bounds.filter(F.col("turn") <= probes).select("query_id", "cell"))
-    else:
-        near = materialise(scored(bounds.filter(F.col("turn") <= first).select("query_id", "cell")))
-        last = top_by(near, ["query_id"], [F.desc("similarity"), "passage_id"], limit, "place").filter(F.col("place") == limit)
-        least = last.select("query_id", (F.col("similarity") - ROUNDING).alias("least"))
-        rest = bounds.filter(F.col("turn") > first).join(least, "query_id", "left").filter("least is null or bound >= least")
-        found = near.unionByName(scored(rest.select("query_id", "cell")))
+    found = scored(bounds.select("query_id", "cell"))
+    if probes is None:
+        last = top_by(found, ["query_id"], [F.desc("similarity"), "passage_id"], limit, "place").filter(F.col("place") == limit)
+        least = materialise(last.select("query_id", (F.col("similarity") - ROUNDING).alias("least")))
+        found = _scored_in_parts(asked.join(least, "query_id", "left"), cells, tiles, limit)
     return top_by(found.withColumn("similarity", F.round("similarity", 6)), ["query_id"], [F.desc("similarity"), "passage_id"], limit, "rank")
 
 
+def _scored_in_parts(asked: DataFrame, cells: Cells, tiles: int, limit: int) -> DataFrame:
+    """Best vectors of each query (query_id, vector, works, least) in each part of the cells, from the cells that its `least` leaves in reach."""
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    n = cells.vectors.count()
+    parts = max(1, -(-n // BLOCK_ROWS), min(cores, -(-n // 2_000)))
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+    left = asked.withColumns({"tile": F.pmod(F.xxhash64("query_id"), F.lit(tiles)), "part": every(parts)})
+    right = cells.vectors.select(
+        "passage_id", "work_slug", "vector", "cell", every(tiles).alias("tile"), F.pmod(F.xxhash64("cell", "block"), F.lit(parts)).alias("part")
+    )
+    # Pairs of a tile and a part are few and small, but costly: they stay in tasks of their own.
+    tasks, pair = min(2_000, 4 * tiles * parts), ["tile", "part"]
+    left, right = left.repartition(tasks, *pair), right.repartition(tasks, *pair)
+    near = _best_in_reach(limit, *_filled(cells))
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(near, _hit_schema(asked, cells.vectors))
+
+
+def _best_in_reach(k: int, names: np.ndarray, radii: np.ndarray, centroids: np.ndarray):
+    best = _best_in_tile(k)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [best(left.iloc[:0], right)]
+        if len(left) and len(right):
+            unit = _unit(left["vector"])
+            nearest = [(unit[i : i + BOUND_QUERIES] @ centroids.T).argmax(1) for i in range(0, len(unit), BOUND_QUERIES)]
+            order = np.argsort(np.concatenate(nearest), kind="stable")
+            least = left["least"].fillna(-np.inf).to_numpy()
+            for first in range(0, len(order), MET_QUERIES):
+                rows = order[first : first + MET_QUERIES]
+                reach = np.zeros(len(names), dtype=bool)
+                for some in np.split(rows, range(BOUND_QUERIES, len(rows), BOUND_QUERIES)):
+                    angles = np.arccos(np.clip(unit[some] @ centroids.T, -1, 1))
+                    reach |= (np.cos(np.maximum(angles - radii, 0)) >= least[some][:, None]).any(0)
+                out.append(best(left.iloc[rows], right[right["cell"].isin(names[reach])]))
+        return pd.concat([x for x in out if len(x)]) if any(map(len, out)) else out[0]
+
+    return run
+
+
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
     """query_id, recall: the share of a query's exact results that were found."""
     hits = exact.join(found.select("query_id", "passage_id", F.lit(1).alias("hit")), ["query_id", "passage_id"], "left")

@@ -184,3 +184,17 @@ def test_the_registered_cell_search_asks_every_fiftieth_vector(spark):
 def test_the_registered_cell_search_asks_every_vector(spark):
     found = runner("d14_cell_search")(spark, "/root/testdata/sf0.001").select("query_id").distinct().count()
     assert found == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("embedding is not null").count()
+
+
+def test_a_cell_search_writes_no_row_for_every_query_and_cell(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(300, 6))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vecs)], "id int, vector array<double>")
+    cells = G.build_cells(v.withColumnRenamed("id", "passage_id"), 12)
+    q, written, real = v.filter("id < 20").withColumnRenamed("id", "query_id"), [], G.materialise
+    monkeypatch.setattr(G, "materialise", lambda *a, **k: written.append(real(*a, **k)) or written[-1])
+    got = {(r.query_id, r["rank"]): r.passage_id for r in G.cell_search(q, cells, limit=4).collect()}
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    best = np.argsort(-(unit[:20] @ unit.T), axis=1)
+    assert got == {(i, r + 1): best[i, r] for i in range(20) for r in range(4)}
+    assert max(t.count() for t in written) <= 2 * 20
